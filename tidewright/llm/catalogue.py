@@ -6,8 +6,9 @@ import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, idfiles, lengths, mixing
+from tidewright.llm import bpe, digest, idfiles, lengths, lines, mixing, neardup
 from tidewright.llm.scratch import Scratch
 
 
@@ -15,6 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op2_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.against_edited(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "op3").path("files")
     manifest = idfiles.write(_table(spark, sf_dir, "documents"), folder)
@@ -29,14 +38,22 @@ def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(lengths.lengths(_table(spark, sf_dir, "documents")))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.dedup(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_duplicates": op1_minhash_near_duplicates,
+    "op2_improbable_features": op2_improbable_features,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op5_length_histogram": op5_length_histogram,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_byte_bpe": op7_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
