@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, digest, idfiles, lengths, lines, mixing, neardup
+from tidewright.llm import bpe, digest, idfiles, lengths, lines, mixing, neardup, topk
 from tidewright.llm.scratch import Scratch
 
 
@@ -47,6 +47,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_norm_sorted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_duplicates": op1_minhash_near_duplicates,
     "op2_improbable_features": op2_improbable_features,
@@ -55,5 +59,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_length_histogram": op5_length_histogram,
     "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_norm_sorted_search": op10_norm_sorted_search,
+}
+ORACLES: dict[str, str] = {
+    "op10_norm_sorted_search": """
+        with parts as (
+            select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i
+            from embeddings where vec_id is not null and embedding is not null
+        ),
+        sound as (
+            select vec_id from parts group by vec_id having bool_and(x is not null and isfinite(cast(x as double)))
+        ),
+        ints as (
+            select vec_id, i, cast(floor(1024 * cast(x as double)) as bigint) as x
+            from parts where vec_id in (select vec_id from sound)
+        ),
+        scores as (
+            select q.vec_id as query_id, c.vec_id as vec_id, cast(sum(q.x * c.x) as bigint) as score
+            from ints q join ints c on q.i = c.i and q.vec_id <> c.vec_id
+            where q.vec_id % 100 = 0 group by q.vec_id, c.vec_id
+        ),
+        ranked as (
+            select query_id, row_number() over (partition by query_id order by score desc, vec_id) as r, vec_id, score
+            from scores
+        )
+        select query_id, cast(r as integer) as rank, vec_id, score from ranked where r <= 10
+    """,
 }
-ORACLES: dict[str, str] = {}
