@@ -48,18 +48,18 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts: runs of other bytes than space and 09-0D, with A-Z lowered.
+    """The words of some texts: runs of other bytes than those `between` marks (space and 09-0D), with A-Z lowered.
 
     `hashes` has one 64-bit hash a word, `first[d]:first[d + 1]` are those of text d; `starts` and `ends` are
     their places in `data`, the lowered bytes of all texts, each followed by one space.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], between: np.ndarray = _SPACE):
         self.data = b" ".join([*texts, b""]).lower()
         raw = np.frombuffer(self.data, dtype=np.uint8)
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
-        edge = np.diff(np.concatenate([[1], _SPACE[raw].astype(np.int8), [1]]))
+        edge = np.diff(np.concatenate([[1], between[raw].astype(np.int8), [1]]))
         self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         self.first = np.searchsorted(self.starts, self.offsets)
         forward, back = _power_tables(len(raw) + 1)
@@ -67,10 +67,17 @@ class Words:
         with np.errstate(over="ignore"):
             np.cumsum(_BYTE[raw] * forward[: len(raw)], out=total[1:])
             self.hashes = mix64((total[self.ends] - total[self.starts]) * back[self.starts])
+        self._total, self._back = total, back
 
     def __len__(self) -> int:
         return len(self.starts)
 
+    def prefixes(self, n: int) -> np.ndarray:
+        """The hash of each word's first n bytes; of a word that is no longer, its own."""
+        stops = np.minimum(self.starts + n, self.ends)
+        with np.errstate(over="ignore"):
+            return mix64((self._total[stops] - self._total[self.starts]) * self._back[self.starts])
+
 
 def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
