@@ -9,6 +9,10 @@ import struct
 from tidewright.llm.vocab import UnitMemo
 
 
+#: Matches without a space before them that are remembered.
+MATCHES = 50_000
+
+
 def _byte_alphabet() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte: the byte's own where it is printable, else the next from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -41,13 +45,31 @@ class LibraryEncoder:
             self.pattern = regex.compile(public_tokenizers.PATTERN)
             self.alphabet, self.model = _byte_alphabet(), self.tokenizer.model
             self.memo = UnitMemo(self._units, b"".join)
+            self.matches: dict[str, bytes] = {}
+
+    def _match(self, match: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(match.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _units(self, units: list[str]) -> list[bytes]:
-        tokenize, alphabet, out = self.model.tokenize, self.alphabet, []
+        words, matches, out = self.memo.words, self.matches, []
+        tokenize, space, pack = self.model.tokenize, self.alphabet[32], struct.pack
         for unit in units:
-            matches = [unit] if unit.isascii() and unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) else self.pattern.findall(unit)
-            ids = [t.id for m in matches for t in tokenize(m.encode("utf-8", "surrogatepass").decode("latin-1").translate(alphabet))]
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
+            if unit[0] == " " and unit.isascii() and unit[1:].isalpha():
+                ids = [t.id for t in tokenize(space + unit[1:])]
+                out.append(pack(f"<{len(ids)}I", *ids))
+                continue
+            parts = []
+            for m in self.pattern.findall(unit):
+                found = words.get(m[1:]) if m[0] == " " else matches.get(m)  # a word is known by itself, without its space
+                if found is None:
+                    found = self._match(m)
+                    if m[0] != " " and len(m) < 16:
+                        if len(matches) > MATCHES:
+                            matches.clear()
+                        matches[m] = found
+                parts.append(found)
+            out.append(b"".join(parts))
         return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:

@@ -11,8 +11,8 @@ import base64
 import re
 from collections.abc import Callable
 
-#: Units remembered in a process; beyond that the memory starts anew.
-REMEMBERED = 400_000
+#: Units remembered in a process: in two generations, of which the older one goes when the younger one is full.
+REMEMBERED = 800_000
 #: Longer units are not remembered.
 LONGEST = 64
 
@@ -42,18 +42,18 @@ class UnitMemo:
     def __init__(self, encode: Callable[[list[str]], list], combine: Callable):
         self.encode, self.combine = encode, combine
         self.words: dict[str, object] = {}
+        self.older: dict[str, object] = {}
         self.units: dict[str, object] = {}
 
     def __call__(self, texts: list[str]) -> list:
-        if len(self.words) + len(self.units) > REMEMBERED:
-            self.words.clear()
-            self.units.clear()
+        if len(self.words) + len(self.units) > REMEMBERED // 2:
+            self.older, self.words, self.units = self.words, {}, {}
         words, out = self.words, []
         parts = [t.split(" ") for t in texts]
-        missing = set()
-        for row in parts:
-            missing.update(row)
-        missing = [w for w in missing if w not in words and w and not w[0].isspace() and len(w) <= LONGEST]
+        missing = {w for row in parts for w in row if w not in words}
+        known = missing & self.older.keys()
+        words.update((w, self.older[w]) for w in known)
+        missing = [w for w in missing if w and w not in known and not w[0].isspace() and len(w) <= LONGEST]
         if missing:
             words.update(zip(missing, self.encode([" " + w for w in missing]), strict=True))
         get = words.get
