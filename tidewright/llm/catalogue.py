@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, digest, idfiles, lengths, lines, mixing, neardup, topk
+from tidewright.llm import bpe, digest, idfiles, lengths, lines, lm, mixing, neardup, topk, toxicity
 from tidewright.llm.scratch import Scratch
 
 
@@ -47,6 +47,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_bigram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_norm_sorted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_length_histogram": op5_length_histogram,
     "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_bigram_trie": op8_bigram_trie,
+    "op9_toxic_spans": op9_toxic_spans,
     "op10_norm_sorted_search": op10_norm_sorted_search,
 }
 ORACLES: dict[str, str] = {
