@@ -60,12 +60,13 @@ def mix(
     seed: int = 20,
     weight_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every document."""
+    """doc_id, text_hash, source, size, source_size, target, copies, taken of every document."""
     scratch = Scratch(docs.sparkSession, "mix")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) * F.lit(2.0**-53)
     sized = docs.select(
         "doc_id",
         "source",
+        F.xxhash64("text").alias("text_hash"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         (F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("_weight"),
         u.alias("_u"),
@@ -131,4 +132,12 @@ def mix(
         chosen = chosen.join(fits, F.col("_row") == F.col("_fit"), "left").withColumn("_in", F.col("_in") | F.col("_fit").isNotNull()).drop("_fit")
         chosen = scratch.keep(chosen, "filled")
     copies = (F.col("_whole") + F.col("_in").cast("long")).cast("long")
-    return chosen.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return chosen.select("doc_id", "text_hash", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as mix takes it. Rows equal in doc_id and text are taken alike, rounded up."""
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.ceil(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tw_hash") == F.col("_hash"))
+    rows = docs.withColumn("_tw_hash", F.xxhash64("text")).join(taken, same)
+    return rows.withColumn("_tw_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])

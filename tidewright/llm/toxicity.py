@@ -328,6 +328,20 @@ def tag(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def kept(docs: DataFrame, model: Model, cut: float = SCORE_CUT) -> DataFrame:
+    """The rows of docs that score below the cut, as they are. Rows stay where they are: no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch, texts in slices(batches, "text", 1 << 19):
+            tokens = Tokens([as_bytes(t) for t in texts])
+            scores = model.scores(model.evidence(model.marginals(tokens), tokens.words.first))
+            yield batch.filter(pa.array(scores < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id") -> Column:
     """Whether a document's label is kept from the fit: crc32 of its doc_id as text leaves 1 over 3."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
