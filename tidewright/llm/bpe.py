@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tidewright.llm.textkit import slices
 from tidewright.llm.vocab import UnitMemo, default_path, read_ranks
@@ -161,7 +162,8 @@ def _codec(path: str) -> tuple[Codec, UnitMemo]:
 
 
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with `ids_col`: array of the ids of `text_col`. Rows stay where they are: no shuffle."""
+    """docs with `ids_col`: array of the ids of `text_col`; a column of that name is replaced. No shuffle."""
+    docs = docs.drop(ids_col)
     path = path or default_path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +174,12 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(table: DataFrame, path: str | None = None, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """table with `bytes_col`: the bytes that the ids of `ids_col` stand for; null ids decode to none."""
+    table = table.drop(bytes_col)
     path = path or default_path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +190,6 @@ def decode(table: DataFrame, path: str | None = None, ids_col: str = "ids", byte
                 ids = rows.column(rows.schema.get_field_index(ids_col)).to_pylist()
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([codec.decode(x or []) for x in ids], pa.binary())], [*rows.schema.names, bytes_col])
 
-    from pyspark.sql import types as T
-
     return table.mapInArrow(run, T.StructType([*table.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 

@@ -137,7 +137,7 @@ def mix(
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as mix takes it. Rows equal in doc_id and text are taken alike, rounded up."""
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.ceil(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tw_hash") == F.col("_hash"))
-    rows = docs.withColumn("_tw_hash", F.xxhash64("text")).join(taken, same)
-    return rows.withColumn("_tw_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_tw_id"), F.col("text_hash").alias("_tw_hash")).agg(F.ceil(F.avg("copies")).cast("int").alias("_tw_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_tw_id")) & (F.col("_tw_own") == F.col("_tw_hash"))
+    rows = docs.withColumn("_tw_own", F.xxhash64("text")).join(taken.where("_tw_copies > 0"), same)
+    return rows.withColumn("_tw_copy", F.explode(F.sequence(F.lit(1), F.col("_tw_copies")))).select(*docs.columns)

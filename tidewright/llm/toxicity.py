@@ -283,7 +283,8 @@ def trained(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None)
     if not chosen:
         return fit([], np.zeros(0, dtype=bool), np.zeros(0))
     small = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "_id long, _toxic int"))  # 2 * SAMPLE rows at most
-    rows = docs.join(small, F.col("doc_id").cast("long") == F.col("_id")).where(F.length("text") <= SAMPLE_CHARS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(small, F.col("doc_id") == F.col("_id")).where(F.length("text") <= SAMPLE_CHARS)
     rows = rows.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).orderBy("_id").collect()
     toxic = np.array([r["_toxic"] == 1 for r in rows], dtype=bool)
     counts = [max(1, int((~toxic).sum())), max(1, int(toxic.sum()))]
