@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewright.llm.library import LibraryEncoder
+from tidewright.llm.scratch import Scratch
 from tidewright.llm.textkit import slices
 from tidewright.llm.vocab import default_path
 
@@ -46,6 +47,7 @@ def histogram(measured: DataFrame) -> DataFrame:
     quantile             share of all documents that fit
     """
     counted = measured.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")).withColumn("tokens", F.col("docs") * F.col("n_tokens")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
+    counted = Scratch(measured.sparkSession, "lengths").keep(counted, "counted")  # read twice below; texts are encoded once
     above = W.orderBy(F.col("_block").desc()).rowsBetween(W.unboundedPreceding, -1)
     blocks = counted.groupBy("_block").agg(F.sum("docs").alias("_d"), F.sum("tokens").alias("_t"))
     blocks = blocks.select("_block", F.coalesce(F.sum("_d").over(above), F.lit(0)).alias("_docs_above"), F.coalesce(F.sum("_t").over(above), F.lit(0)).alias("_tokens_above"), F.sum("_d").over(W.partitionBy()).alias("_all_docs"), F.sum("_t").over(W.partitionBy()).alias("_all_tokens"))
