@@ -3,7 +3,7 @@
 Every window of WINDOW bytes has a score, its byte entropy from 0 to 1000. Windows rank by how rare their score is among all
 windows of the corpus, the rarest first; scores under LOW (runs of few byte values, alike in any text) come last. Of each
 NEIGHBOURS successive windows the first of the best rank gets a point, and windows with POPULAR points are a text's features;
-where none has as many, the first with the most. Of a short text all windows of SHORT_WINDOW bytes are features, of one
+where none has as many, the one with the most; equal windows of a text count together. Of a short text all windows of SHORT_WINDOW bytes are features, of one
 shorter than these the whole.
 
 Features go into Bloom filters of FILTER_BITS bits by HASHES hashes each; a filter that holds CAPACITY features is closed and
@@ -128,25 +128,29 @@ def features(texts: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndar
         groups = groups[:0]
     groups = groups[_inside(ends, WINDOW + NEIGHBOURS - 1, len(groups))] if len(groups) else groups
     points = np.bincount(groups & ((1 << 40) - 1), minlength=len(scores)) if len(scores) else np.zeros(0, dtype=np.int64)
-    starts = np.flatnonzero(points >= POPULAR)
-    owner = np.searchsorted(ends, starts, side="right") - 1
     sizes = np.diff(ends)
-    starts, owner = starts[sizes[owner] >= LONG], owner[sizes[owner] >= LONG]
-    has = np.zeros(len(texts), dtype=bool)
-    has[owner] = True
-    parts = []
-    for d in np.flatnonzero(sizes < SHORT):
-        a, b = int(ends[d]), int(ends[d + 1])
-        at = np.arange(a, max(a, b - SHORT_WINDOW) + 1) if b > a else np.zeros(0, dtype=np.int64)
-        parts.append((at, np.minimum(at + SHORT_WINDOW, b), np.full(len(at), d)))
-    parts.append((starts, starts + WINDOW, owner))
-    for d in np.flatnonzero(~has & (sizes >= LONG)):
-        a, b = int(ends[d]), int(ends[d + 1])
-        at = np.array([a + int(np.argmax(points[a : b - WINDOW + 1]))])
-        parts.append((at, at + WINDOW, np.array([d])))
-    starts, stops, owner = (np.concatenate(c) for c in zip(*parts, strict=True))
+    hash_of = lambda a, b: mix64((sums[b] - sums[a]) * back[a])
     with np.errstate(over="ignore"):
-        hashes = mix64((sums[stops] - sums[starts]) * back[starts])
+        starts = np.flatnonzero(points)
+        owner = np.searchsorted(ends, starts, side="right") - 1
+        hashes = hash_of(starts, starts + WINDOW)
+        # points of equal windows of a text count together, so that text that repeats itself has features too
+        _, first, same = np.unique(mix64(hashes ^ (owner.astype(U64) * U64(0x9E3779B97F4A7C15))), return_index=True, return_inverse=True)
+        total = np.bincount(same, weights=points[starts], minlength=len(first)).astype(np.int64)
+        most = np.zeros(len(texts), dtype=np.int64)
+        np.maximum.at(most, owner[first], total)
+        best_of = np.full(len(texts), len(raw), dtype=np.int64)
+        top = first[total == most[owner[first]]]
+        np.minimum.at(best_of, owner[top], top)
+        popular = np.where(most[owner[first]] >= POPULAR, total >= POPULAR, first == best_of[owner[first]])
+        chosen = np.sort(first[popular & (sizes[owner[first]] >= LONG)])
+        parts = []
+        for d in np.flatnonzero(sizes < SHORT):
+            a, b = int(ends[d]), int(ends[d + 1])
+            at = np.arange(a, max(a, b - SHORT_WINDOW) + 1) if b > a else np.zeros(0, dtype=np.int64)
+            parts.append((hash_of(at, np.minimum(at + SHORT_WINDOW, b)), np.full(len(at), d)))
+        parts.append((hashes[chosen], owner[chosen]))
+        hashes, owner = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.argsort(owner, kind="stable")
     return hashes[order], owner[order]
 

@@ -55,7 +55,7 @@ class LibraryEncoder:
         words, matches, out = self.memo.words, self.matches, []
         tokenize, space, pack = self.model.tokenize, self.alphabet[32], struct.pack
         for unit in units:
-            if unit[0] == " " and unit.isascii() and unit[1:].isalpha():
+            if unit[:1] == " " and unit.isascii() and unit[1:].isalpha():
                 ids = [t.id for t in tokenize(space + unit[1:])]
                 out.append(pack(f"<{len(ids)}I", *ids))
                 continue

@@ -72,11 +72,11 @@ def mix(
         u.alias("_u"),
     )
     sized = scratch.keep(sized, "sizes").withColumn("_row", F.monotonically_increasing_id())
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum(F.col("size") * F.col("_weight")) / F.sum("size")).alias("_mean"))
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("size") * F.col("_weight")), F.sum("size")).alias("_mean"))
     plan = (
         source_targets(by_source.select("source", "source_size"), weights, share, max_copies)
         .join(by_source.select(F.col("source").alias("_s"), "_mean"), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_r", F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0)))
+        .withColumn("_r", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
         .withColumn("_whole", F.floor("_r"))
         .withColumn("_part", F.col("_r") - F.col("_whole"))
         .withColumn("_want", F.col("target") - F.col("_whole") * F.col("source_size"))
@@ -84,7 +84,7 @@ def mix(
     )
     plan = scratch.keep(plan, "plan")
 
-    inclusion = F.greatest(F.least(F.col("_part") * F.coalesce(F.col("_weight") / F.col("_mean"), F.lit(1.0)), F.lit(1 - 1e-9)), F.lit(1e-9))
+    inclusion = F.greatest(F.least(F.col("_part") * F.coalesce(F.try_divide("_weight", "_mean"), F.lit(1.0)), F.lit(1 - 1e-9)), F.lit(1e-9))
     base = F.greatest(F.least(F.col("_part"), F.lit(1 - 1e-9)), F.lit(1e-9))
     odds = lambda p: p / (1 - p)
     ranked = (
