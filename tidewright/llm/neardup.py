@@ -9,11 +9,13 @@ words or text, empty and linked with nothing). Two documents are linked if 100 *
    chunk has at most one that does, by pigeonhole; so one key for each place that may differ, made of the chunk's other
    symbols, guarantees that such a pair shares a key. A pair of similarity 0.75 differs in more symbols with a probability
    of 2 in a million.
-3. Inside a key, every representative is first paired with the smallest one only. These pairs, if the signatures are
-   within DISTANCE, are confirmed on the whole sets and joined to components, which swallows groups of near copies of any
-   size in a number of pairs that follows their rows.
-4. What is left inside a key are pairs of different components. All of those within DISTANCE are confirmed, so no link
-   between different components is lost; then components are formed anew over all links.
+3. A signature also has BITS bits, each the last one of a further minimum. Pairs that share a key are dropped if over
+   BIT_DISTANCE bits differ, six deviations more than at similarity 0.75, where a pair is so lost once in 10**8.
+4. Inside a key, every representative is first paired with the smallest one only. These pairs are confirmed on the whole
+   sets and joined to components, which swallows groups of near copies of any size in a number of pairs that follows their
+   rows.
+5. What is left inside a key are pairs of different components. All of those are confirmed, so no link between different
+   components is lost; then components are formed anew over all links.
 
 Shingles are compared as 64-bit hashes. A null doc_id takes no part in links: its component_id is null and it is kept.
 Rows that share a doc_id are one node. Empty tables give empty results; other columns are ignored.
@@ -38,11 +40,13 @@ POSITIONS = CHUNKS * CHUNK
 DISTANCE = 2 * CHUNKS - 1
 #: A signature's symbols lie in longs of four.
 LONGS = -(-POSITIONS // 4)
+BITS, BIT_DISTANCE = 256, 64
+INDEX, SKETCH = [f"s{i}" for i in range(LONGS)], [f"b{i}" for i in range(BITS // 64)]
 #: Bits of the filter that lets only documents with a candidate through to the confirmation; 2 MB whatever the input.
 FILTER_BITS = 1 << 24
 
 _PLACE = constants(SHINGLE, 5)
-_XOR, _TIMES = constants(POSITIONS, 11), constants(POSITIONS, 13)
+_XOR, _TIMES = constants(POSITIONS + BITS, 11), constants(POSITIONS + BITS, 13)
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,34 +73,45 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, dtype=U64), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
 
+def minima(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The minimum of each set, beginning at `at`, under each hash, spread over 64 bits: a row a hash."""
+    out, work = np.empty((POSITIONS + BITS, len(at)), dtype=U64), np.empty_like(sets)
+    with np.errstate(over="ignore"):
+        for k in range(len(out)):
+            np.bitwise_xor(sets, _XOR[k], out=work)
+            np.multiply(work, _TIMES[k], out=work)
+            out[k] = np.minimum.reduceat(work, at)
+        return mix64(out)
+
+
+def _packed(symbols: np.ndarray, width: int, longs: int) -> np.ndarray:
+    """Rows of symbols of `width` bits side by side in rows of 64 bits."""
+    out = np.zeros((longs, symbols.shape[1]), dtype=U64)
+    for k, row in enumerate(symbols):
+        out[k * width // 64] |= (row & U64((1 << width) - 1)) << U64(k * width % 64)
+    return out
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (two hashes of the whole set), s0.. (the signature, four symbols a long; null if empty)."""
-    names = [f"s{i}" for i in range(LONGS)]
+    """doc_id, n_shingles, set_a, set_b (two hashes of the whole set), s0.. (four index symbols a long), b0.. (64 bits a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             sets, ends = shingle_sets(texts)
             counts = np.diff(ends)
             full = np.flatnonzero(counts)
-            columns = [batch.column("doc_id"), pa.array(counts)]
-            with np.errstate(over="ignore"):
+            found = np.zeros((2 + len(INDEX) + len(SKETCH), len(texts)), dtype=U64)
+            if len(full):
                 at = ends[:-1][full]
-                symbols = np.zeros((4 * LONGS, len(full)), dtype=U64)
-                whole = np.zeros((2, len(texts)), dtype=U64)
-                if len(full):
-                    for k in range(POSITIONS):
-                        symbols[k] = mix64(np.minimum.reduceat((sets ^ _XOR[k]) * _TIMES[k], at)) & U64(0xFFFF)
-                    whole[0, full] = np.add.reduceat(sets, at)
-                    whole[1, full] = np.add.reduceat(mix64(sets), at)
-            columns += [pa.array(w.view(np.int64)) for w in whole]
-            for i in range(LONGS):
-                packed = np.zeros(len(texts), dtype=U64)
-                for j in range(4):
-                    packed[full] |= symbols[4 * i + j] << U64(16 * j)
-                columns.append(pa.array(packed.view(np.int64), mask=counts == 0))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", *names])
-
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"{n} long" for n in names)
+                low = minima(sets, at)
+                with np.errstate(over="ignore"):
+                    found[0, full] = np.add.reduceat(sets, at)
+                    found[1, full] = np.add.reduceat(mix64(sets), at)
+                found[2 : 2 + LONGS, full] = _packed(low[:POSITIONS], 16, LONGS)
+                found[2 + LONGS :, full] = _packed(low[POSITIONS:], 1, len(SKETCH))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *[pa.array(row.view(np.int64)) for row in found]], ["doc_id", "n_shingles", "set_a", "set_b", *INDEX, *SKETCH])
+
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"{n} long" for n in (*INDEX, *SKETCH))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -117,30 +132,16 @@ def index_keys() -> F.Column:
     return F.array(*keys)
 
 
-def differing(left: str, right: str) -> F.Column:
-    """How many symbols of two signatures differ: of each long's difference, the 16-bit lanes that aren't 0."""
-    total = F.lit(0)
-    for i in range(LONGS):
-        x = F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))
-        for shift in (8, 4, 2, 1):  # gathers a lane's bits in its lowest; what comes from the lane above stays above that
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-    return total
-
-
-def _sig_columns(name: str, prefix: str) -> list[F.Column]:
-    return [F.col("rep").alias(name), F.col("n_shingles").alias(f"{prefix}n"), *[F.col(f"s{i}").alias(f"{prefix}{i}") for i in range(LONGS)]]
-
-
-def _sig(df: DataFrame, name: str, prefix: str) -> DataFrame:
-    """df with its rep and signature renamed for one side of a pair."""
-    return df.select(*_sig_columns(name, prefix))
+def _side(name: str, prefix: str) -> list[F.Column]:
+    """A representative, its size and its sketch, named for one side of a pair."""
+    return [F.col("rep").alias(name), F.col("n_shingles").alias(f"{prefix}n"), *[F.col(c).alias(f"{prefix}{c}") for c in SKETCH]]
 
 
 def _close(left: str, right: str) -> F.Column:
-    """Whether sizes allow the similarity and signatures are within the distance."""
+    """Whether sizes allow the similarity, and sketches are within the distance."""
     small, large = F.least(F.col(f"{left}n"), F.col(f"{right}n")), F.greatest(F.col(f"{left}n"), F.col(f"{right}n"))
-    return (small * 100 >= large * 75) & (differing(left, right) <= DISTANCE)
+    bits = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in SKETCH), F.lit(0))
+    return (small * 100 >= large * 75) & (bits <= BIT_DISTANCE)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -180,22 +181,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "neardup")
     signed = scratch.keep(signatures(docs), "signatures")
     of_set = ["n_shingles", "set_a", "set_b"]
-    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*of_set, *[f"s{i}" for i in range(LONGS)]).agg(F.min("doc_id").alias("rep"))
+    own = [F.first(c).alias(c) for c in (*INDEX, *SKETCH)]  # the same in all of a class
+    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("rep"), *own)
     reps = scratch.keep(reps, "classes")
 
     keys = reps.select("rep", F.explode(index_keys()).alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("_last")).where("lead < _last").select("key", "lead")
     held = scratch.keep(keys.join(shared, "key"), "keys")  # only what shares a key with another
     stars = held.where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(_sig(reps, "a", "x"), "a").join(_sig(reps, "b", "y"), "b").where(_close("x", "y")).select("a", "b")
+    stars = stars.join(reps.select(*_side("a", "x")), "a").join(reps.select(*_side("b", "y")), "b").where(_close("x", "y")).select("a", "b")
     links = scratch.keep(confirm(scratch.keep(stars, "stars"), docs), "links")
     labels = scratch.keep(components(links, scratch), "stars-joined")
 
     placed = held.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
-    open_ = scratch.keep(placed.join(mixed, "key").join(reps.drop("set_a", "set_b"), "rep"), "open")
-    left = open_.select("key", F.col("label").alias("la"), *_sig_columns("a", "x"))
-    right = open_.select(F.col("key").alias("key_b"), F.col("label").alias("lb"), *_sig_columns("b", "y"))
+    open_ = scratch.keep(placed.join(mixed, "key").join(reps.select("rep", "n_shingles", *SKETCH), "rep"), "open")
+    left = open_.select("key", F.col("label").alias("la"), *_side("a", "x"))
+    right = open_.select(F.col("key").alias("key_b"), F.col("label").alias("lb"), *_side("b", "y"))
     rest = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _close("x", "y")).select("a", "b").distinct()
     rest = scratch.keep(rest, "rest")
     more = scratch.keep(confirm(rest, docs), "links")
