@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.bitfilter import narrowed
 from tidewright.llm.components import components
 from tidewright.llm.scratch import Scratch
 from tidewright.llm.textkit import U64, Words, as_bytes, constants, mix64, slices
@@ -42,8 +43,6 @@ DISTANCE = 2 * CHUNKS - 1
 LONGS = -(-POSITIONS // 4)
 BITS, BIT_DISTANCE = 256, 64
 INDEX, SKETCH = [f"s{i}" for i in range(LONGS)], [f"b{i}" for i in range(BITS // 64)]
-#: Bits of the filter that lets only documents with a candidate through to the confirmation; 2 MB whatever the input.
-FILTER_BITS = 1 << 24
 
 _PLACE = constants(SHINGLE, 5)
 _XOR, _TIMES = constants(POSITIONS + BITS, 11), constants(POSITIONS + BITS, 13)
@@ -146,16 +145,8 @@ def _close(left: str, right: str) -> F.Column:
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole sets have 100 * intersection >= percent * union."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    flags = needed.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_bits"))
-    some = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .withColumn("_bit", bit)
-        .join(F.broadcast(flags), F.shiftright("_bit", 6) == F.col("_word"))
-        .where(F.expr("(shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1) = 1"))
-        .select("doc_id", "text")
-    )
+    some = narrowed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), needed, ["doc_id"])
     sided = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     sided = sided.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
