@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ranges at most; beyond that they get longer instead of more.
-MOST_BLOCKS = 2048
+MOST_BLOCKS = 16384
 
 
 def cut_points(docs: DataFrame, rows: int) -> list[int]:
@@ -19,8 +21,12 @@ def cut_points(docs: DataFrame, rows: int) -> list[int]:
 
 
 def block_of(column: str, cuts: list[int]) -> Column:
-    """How many cuts are at or below the column: 0 for null."""
+    """How many cuts are at or below the column: 0 for null. Looked up in two steps of about the root of their number."""
     if not cuts:
         return F.lit(0)
-    ladder = F.array(*map(F.lit, cuts))
-    return F.when(F.col(column).isNull(), 0).otherwise(F.size(F.filter(ladder, lambda c: c <= F.col(column))))
+    at_most = lambda values: F.size(F.filter(values, lambda c: c <= F.col(column)))
+    step = math.isqrt(len(cuts)) + 1
+    runs = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    run = F.greatest(at_most(F.array(*[F.lit(r[0]) for r in runs])), F.lit(1))
+    inside = at_most(F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in runs]), run))
+    return F.when(F.col(column).isNull(), 0).otherwise((run - 1) * step + inside)
