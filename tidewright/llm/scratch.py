@@ -33,6 +33,8 @@ class Scratch:
         """Write df and read it back: later plans start at the files."""
         path = self.path(label)
         df.write.parquet(path)
+        # shuffle files go when the driver collects the plans that made them, which a small heap may not do for long
+        self.spark._jvm.System.gc()
         table = self.spark.read.schema(df.schema).parquet(path)
         table._tidewright_path = path
         return table
