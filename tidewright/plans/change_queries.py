@@ -5,15 +5,13 @@ seq = event_id, id = user_id, op by event_type, doc = (value, props), collection
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import ids
 from tidewright.operators import changes
 from tidewright.registry import query
+from tidewright.sources import files
 
 OP_OF_TYPE = {"signup": "insert", "click": "update", "view": "update", "purchase": "replace", "error": "delete"}
 WORKERS, GROUP, THRESHOLD, RESUME, EVERY_S = 8, 128, 100, 5000, 21600
@@ -65,7 +63,7 @@ def cdc_stream_replay(spark, sf_dir):
     from tidewright.streaming.replication import Replicator, Source
     from tidewright.streaming.store import KeyedStore
 
-    folder = _folder(spark, "replay")
+    folder = files.new_folder(spark, "replay")
     log = events_log(spark, sf_dir).withColumn("coll", F.lit("customers"))
     log.repartitionByRange(6, "seq").sortWithinPartitions("seq").write.parquet(f"{folder}/log")
     store = KeyedStore(spark, f"{folder}/customers", ["id"], "id long, value double, props string", buckets=8)
@@ -77,12 +75,6 @@ def cdc_stream_replay(spark, sf_dir):
     return store.read()
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewright-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "cdc_final_state",
     f"""with {_SQL_LOG}, {_SQL_LAST.format(key="db, coll, id", where="")}
