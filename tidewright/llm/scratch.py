@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset (a local session), a folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from tidewright.sources import files
 
 
 class Scratch:
     """Intermediate tables of one operator call. `drop` removes what nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, files.new_folder(spark, name), 0
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -40,7 +28,5 @@ class Scratch:
         return table
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            at = jvm.org.apache.hadoop.fs.Path(table._tidewright_path)
-            at.getFileSystem(conf).delete(at, True)
+            files.delete(self.spark, table._tidewright_path)
