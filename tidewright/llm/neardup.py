@@ -11,11 +11,13 @@ words or text, empty and linked with nothing). Two documents are linked if 100 *
    of 2 in a million.
 3. A signature also has BITS bits, each the last one of a further minimum. Pairs that share a key are dropped if over
    BIT_DISTANCE bits differ, six deviations more than at similarity 0.75, where a pair is so lost once in 10**8.
-4. Inside a key, every representative is first paired with the smallest one only. These pairs are confirmed on the whole
-   sets and joined to components, which swallows groups of near copies of any size in a number of pairs that follows their
-   rows.
-5. What is left inside a key are pairs of different components. All of those are confirmed, so no link between different
-   components is lost; then components are formed anew over all links.
+4. Inside a key, every representative is first paired with one only, that which meets the most others over all of its keys:
+   among copies of one text, the text itself or the copy nearest to it, to which the others are linked though not always to
+   each other. These pairs are confirmed on the whole sets and joined to components, which swallows groups of near copies of
+   any size in a number of pairs that follows their rows.
+5. What is left inside a key are pairs of different components. Their documents get sketches of WIDE bits, which tell 0.75
+   from 0.65; all pairs within WIDE_DISTANCE, six deviations again, are confirmed, so no link between different components is
+   lost; then components are formed anew over all links.
 
 Shingles are compared as 64-bit hashes. A null doc_id takes no part in links: its component_id is null and it is kept.
 Rows that share a doc_id are one node. Empty tables give empty results; other columns are ignored.
@@ -42,10 +44,13 @@ DISTANCE = 2 * CHUNKS - 1
 #: A signature's symbols lie in longs of four.
 LONGS = -(-POSITIONS // 4)
 BITS, BIT_DISTANCE = 256, 64
+#: Bits of the sketch that documents get which are still open after the first round.
+WIDE, WIDE_DISTANCE = 2048, 346
 INDEX, SKETCH = [f"s{i}" for i in range(LONGS)], [f"b{i}" for i in range(BITS // 64)]
+SHARP = [f"w{i}" for i in range(WIDE // 64)]
 
 _PLACE = constants(SHINGLE, 5)
-_XOR, _TIMES = constants(POSITIONS + BITS, 11), constants(POSITIONS + BITS, 13)
+_XOR, _TIMES = constants(POSITIONS + BITS + WIDE, 11), constants(POSITIONS + BITS + WIDE, 13)
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +77,14 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, dtype=U64), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
 
-def minima(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The minimum of each set, beginning at `at`, under each hash, spread over 64 bits: a row a hash."""
-    out, work = np.empty((POSITIONS + BITS, len(at)), dtype=U64), np.empty_like(sets)
+def minima(sets: np.ndarray, at: np.ndarray, hashes: range) -> np.ndarray:
+    """The minimum of each set, beginning at `at`, under each of some hashes, spread over 64 bits: a row a hash."""
+    out, work = np.empty((len(hashes), len(at)), dtype=U64), np.empty_like(sets)
     with np.errstate(over="ignore"):
-        for k in range(len(out)):
+        for row, k in enumerate(hashes):
             np.bitwise_xor(sets, _XOR[k], out=work)
             np.multiply(work, _TIMES[k], out=work)
-            out[k] = np.minimum.reduceat(work, at)
+            out[row] = np.minimum.reduceat(work, at)
         return mix64(out)
 
 
@@ -102,7 +107,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             found = np.zeros((2 + len(INDEX) + len(SKETCH), len(texts)), dtype=U64)
             if len(full):
                 at = ends[:-1][full]
-                low = minima(sets, at)
+                low = minima(sets, at, range(POSITIONS + BITS))
                 with np.errstate(over="ignore"):
                     found[0, full] = np.add.reduceat(sets, at)
                     found[1, full] = np.add.reduceat(mix64(sets), at)
@@ -114,6 +119,23 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def sharp_sketches(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, w0.. (64 bits a long) of the documents that reps names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text"):
+            sets, ends = shingle_sets(texts)
+            full = np.flatnonzero(np.diff(ends))
+            found = np.zeros((len(SHARP), len(texts)), dtype=U64)
+            if len(full):
+                found[:, full] = _packed(minima(sets, ends[:-1][full], range(POSITIONS + BITS, POSITIONS + BITS + WIDE)), 1, len(SHARP))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *[pa.array(row.view(np.int64)) for row in found]], ["rep", *SHARP])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    own = narrowed(texts, reps, ["rep"]).join(reps, "rep", "left_semi")
+    return own.mapInArrow(run, "rep long, " + ", ".join(f"{n} long" for n in SHARP))
+
+
 def _symbol(k: int, prefix: str = "s") -> F.Column:
     return F.shiftrightunsigned(F.col(f"{prefix}{k // 4}"), 16 * (k % 4)).bitwiseAND(0xFFFF)
 
@@ -131,16 +153,19 @@ def index_keys() -> F.Column:
     return F.array(*keys)
 
 
-def _side(name: str, prefix: str) -> list[F.Column]:
+def _side(name: str, prefix: str, sketch: list[str] = SKETCH) -> list[F.Column]:
     """A representative, its size and its sketch, named for one side of a pair."""
-    return [F.col("rep").alias(name), F.col("n_shingles").alias(f"{prefix}n"), *[F.col(c).alias(f"{prefix}{c}") for c in SKETCH]]
+    return [F.col("rep").alias(name), F.col("n_shingles").alias(f"{prefix}n"), *[F.col(c).alias(f"{prefix}{c}") for c in sketch]]
+
+
+def _differing(left: str, right: str, sketch: list[str]) -> F.Column:
+    return sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in sketch), F.lit(0))
 
 
 def _close(left: str, right: str) -> F.Column:
     """Whether sizes allow the similarity, and sketches are within the distance."""
     small, large = F.least(F.col(f"{left}n"), F.col(f"{right}n")), F.greatest(F.col(f"{left}n"), F.col(f"{right}n"))
-    bits = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in SKETCH), F.lit(0))
-    return (small * 100 >= large * 75) & (bits <= BIT_DISTANCE)
+    return (small * 100 >= large * 75) & (_differing(left, right, SKETCH) <= BIT_DISTANCE)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -177,19 +202,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = scratch.keep(reps, "classes")
 
     keys = reps.select("rep", F.explode(index_keys()).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("_last")).where("lead < _last").select("key", "lead")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = scratch.keep(keys.join(shared, "key"), "keys")  # only what shares a key with another
-    stars = held.where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    central = held.groupBy(F.col("rep").alias("_rep")).agg(F.sum("n").alias("met"))
+    rank = F.struct("met", (-F.col("rep")).alias("low"))
+    leads = held.join(central, F.col("rep") == F.col("_rep")).groupBy("key").agg(F.max(rank).alias("top")).select("key", (-F.col("top.low")).alias("lead"))
+    stars = held.join(leads, "key").where("lead <> rep").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
     stars = stars.join(reps.select(*_side("a", "x")), "a").join(reps.select(*_side("b", "y")), "b").where(_close("x", "y")).select("a", "b")
     links = scratch.keep(confirm(scratch.keep(stars, "stars"), docs), "links")
     labels = scratch.keep(components(links, scratch), "stars-joined")
 
     placed = held.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
-    open_ = scratch.keep(placed.join(mixed, "key").join(reps.select("rep", "n_shingles", *SKETCH), "rep"), "open")
-    left = open_.select("key", F.col("label").alias("la"), *_side("a", "x"))
-    right = open_.select(F.col("key").alias("key_b"), F.col("label").alias("lb"), *_side("b", "y"))
-    rest = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _close("x", "y")).select("a", "b").distinct()
+    open_ = scratch.keep(placed.join(mixed, "key"), "open")
+    sharp = scratch.keep(sharp_sketches(docs, open_.select("rep").distinct()), "sharp")
+    both = [*SKETCH, *SHARP]
+    rows = open_.join(reps.select("rep", "n_shingles", *SKETCH), "rep").join(sharp.dropDuplicates(["rep"]), "rep")
+    left = rows.select("key", F.col("label").alias("la"), *_side("a", "x", both))
+    right = rows.select(F.col("key").alias("key_b"), F.col("label").alias("lb"), *_side("b", "y", both))
+    alike = _close("x", "y") & (_differing("x", "y", SHARP) <= WIDE_DISTANCE)
+    rest = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
     rest = scratch.keep(rest, "rest")
     more = scratch.keep(confirm(rest, docs), "links")
     if not more.isEmpty():
