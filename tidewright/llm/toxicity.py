@@ -18,6 +18,7 @@ score alike; empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,6 +60,33 @@ class Tokens:
         new |= (np.arange(n) - begin) % SEQUENCE == 0
         self.sequence = np.cumsum(new) - 1
         self.begins = np.append(np.flatnonzero(new), n)
+        self.first = self.words.first
+
+    @classmethod
+    def joined(cls, texts: list[str]) -> Tokens:
+        """Tokens of many texts, made slice by slice; without the words' places."""
+        out, parts = cls([]), [cls([as_bytes(t) for t in part]) for part in _slices(texts)]
+        if parts:
+            out.features = np.concatenate([p.features for p in parts])
+            for name, size in (("text", lambda p: len(p.first) - 1), ("sequence", lambda p: len(p.begins) - 1)):
+                before = np.cumsum([0, *map(size, parts)])
+                setattr(out, name, np.concatenate([getattr(p, name) + b for p, b in zip(parts, before, strict=False)]))
+            before = np.cumsum([0, *(len(p.text) for p in parts)])
+            for name in ("begins", "first"):
+                setattr(out, name, np.append(np.concatenate([getattr(p, name)[:-1] + b for p, b in zip(parts, before, strict=False)]), before[-1]))
+        return out
+
+
+def _slices(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size > limit:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 @dataclass
@@ -165,14 +193,20 @@ def forward_backward(grid: np.ndarray, sizes: np.ndarray, start: np.ndarray, ste
 
 def _clusters(texts: list[str]) -> np.ndarray:
     """A number for each text, the same for near copies: texts are joined that share the minimum of their shingles under one of 4 hashes."""
-    sets, ends = shingle_sets(texts)
-    label = np.arange(len(texts))
-    full = np.flatnonzero(np.diff(ends))
+    keys, found, label = constants(4, 43), [], np.arange(len(texts))
+    for part in _slices(texts):
+        sets, ends = shingle_sets(part)
+        lows = np.zeros((len(keys), len(part)), dtype=U64)
+        full = np.flatnonzero(np.diff(ends))
+        with np.errstate(over="ignore"):
+            for row, k in zip(lows, keys, strict=True):
+                if len(full):
+                    row[full] = np.minimum.reduceat((sets ^ k) * k, ends[:-1][full])
+        found.append((lows, np.diff(ends) > 0))
+    full = np.flatnonzero(np.concatenate([f for _, f in found])) if found else np.zeros(0, dtype=np.int64)
     if not len(full):
         return label
-    keys = constants(4, 43)
-    with np.errstate(over="ignore"):
-        lows = [np.minimum.reduceat((sets ^ k) * k, ends[:-1][full]) for k in keys]
+    lows = np.concatenate([low for low, _ in found], axis=1)[:, full]
     for _ in range(4):
         for low in lows:
             _, group = np.unique(low, return_inverse=True)
@@ -184,13 +218,19 @@ def _clusters(texts: list[str]) -> np.ndarray:
 
 
 def _spread(tokens: Tokens, cluster: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of the clusters in `some` texts, with the number of clusters each occurs in."""
+    """Distinct features of the clusters in `some` texts, sorted, with the number of clusters each occurs in."""
     rows = np.flatnonzero(some[tokens.text])
-    owner = np.repeat(cluster[tokens.text[rows]].astype(U64), tokens.features.shape[1])
+    found, counts = [], []
     with np.errstate(over="ignore"):
-        feature = tokens.features[rows].ravel()
-        pair = np.unique(mix64(feature ^ (owner * U64(0x9E3779B97F4A7C15))), return_index=True)[1]
-    return np.unique(feature[pair], return_counts=True)
+        owner = cluster[tokens.text[rows]].astype(U64) * U64(0x9E3779B97F4A7C15)
+        for k in range(tokens.features.shape[1]):  # kinds of features never meet
+            feature = tokens.features[rows, k]
+            one = feature[np.unique(mix64(feature ^ owner), return_index=True)[1]]
+            f, n = np.unique(one, return_counts=True)
+            found.append(f)
+            counts.append(n)
+    order = np.argsort(np.concatenate(found), kind="stable")
+    return np.concatenate(found)[order], np.concatenate(counts)[order]
 
 
 def _tail(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
@@ -220,11 +260,14 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     none = Model(np.zeros(0, dtype=U64), np.zeros(0), -8.0, np.array([0.0, -4.0]), np.zeros((2, 2)), np.array([-30.0, 0.0, 0.0]))
     if not toxic.any() or toxic.all():
         return none
-    tokens = Tokens([as_bytes(t) for t in texts])
+    tokens = Tokens.joined(texts)
     marks = toxic_features(tokens, _clusters(texts), toxic)
     if not len(marks):
         return none
-    marked = np.isin(tokens.features, marks).any(axis=1) & toxic[tokens.text]
+    marked = np.zeros(len(tokens.text), dtype=bool)
+    for column in tokens.features.T:
+        marked |= marks[np.minimum(np.searchsorted(marks, column), len(marks) - 1)] == column
+    marked &= toxic[tokens.text]
     keys = np.unique(tokens.features[marked])
     # of sequences with toxic tokens and without, so many each, from all over the sample
     has = np.zeros(len(tokens.begins) - 1, dtype=bool)
@@ -236,9 +279,9 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     place = np.minimum(tokens.begins[rows][:, None] + np.arange(width), len(marked) - 1)
     inside = np.arange(width) < sizes[:, None]
     truth = marked[place] & inside
-    at = np.searchsorted(keys, tokens.features)
-    at = np.where(keys[np.minimum(at, len(keys) - 1)] == tokens.features, at, len(keys))  # the last is no feature
-    own = at[place]
+    features = tokens.features[place]
+    own = np.searchsorted(keys, features)
+    own = np.where(keys[np.minimum(own, len(keys) - 1)] == features, own, len(keys))  # the last is no feature
     moves = np.zeros((2, 2))
     for t in range(1, width):
         on = inside[:, t]
@@ -260,7 +303,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
         flat = flat + RATE * grad / (np.sqrt(size2) + 1e-8)
     w, bias, start, step = np.split(flat, np.cumsum(shape)[:-1])
     model = Model(keys, w[:-1], float(bias[0]), start, step.reshape(2, 2), np.zeros(3))
-    x, y = model.evidence(model.marginals(tokens), tokens.words.first), toxic.astype(float)
+    x, y = model.evidence(model.marginals(tokens), tokens.first), toxic.astype(float)
     curve = np.zeros(3)
     for _ in range(30):  # Newton's steps of a penalised logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
@@ -285,11 +328,18 @@ def trained(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None)
     small = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "_id long, _toxic int"))  # 2 * SAMPLE rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(small, F.col("doc_id") == F.col("_id")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = rows.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).orderBy("_id").collect()
-    toxic = np.array([r["_toxic"] == 1 for r in rows], dtype=bool)
-    counts = [max(1, int((~toxic).sum())), max(1, int(toxic.sum()))]
-    weight = np.where(toxic, totals.get(1, 0) / counts[1], totals.get(0, 0) / counts[0])
-    return fit([r["text"] for r in rows], toxic, weight)
+    rows = rows.groupBy("_id", "_toxic").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [(t, y) for batch in batches for t, y in zip(batch.column("text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True)]
+        toxic = np.array([y == 1 for _, y in table], dtype=bool)
+        counts = [max(1, int((~toxic).sum())), max(1, int(toxic.sum()))]
+        weight = np.where(toxic, totals.get(1, 0) / counts[1], totals.get(0, 0) / counts[0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for t, _ in table], toxic, weight))], pa.binary())], ["model"])
+
+    # the sample is bounded, so one task can fit it, and the driver gets the model alone
+    found = rows.repartition(1).sortWithinPartitions("_id").mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], np.zeros(0, dtype=bool), np.zeros(0))
 
 
 def tag(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
