@@ -36,3 +36,13 @@ def test_query_gives_the_oracles_rows(spark, duck, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+
+
+@pytest.mark.parametrize(("name", "rest"), [("snapshot_replace_whole", "left_semi"), ("snapshot_keep_whole", "left_anti")])
+def test_conflict_modes_run_over_whole_tables(spark, name, rest):
+    customer, orders = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("customer", "orders"))
+    source = orders.selectExpr("o_custkey * 2 as c_custkey").distinct()
+    out = QUERIES[name](spark, SF)
+    assert out.count() == customer.select("c_custkey").union(source).distinct().count() > customer.count()
+    taken = source if rest == "left_semi" else source.join(customer, "c_custkey", "left_anti")
+    assert out.where("c_name like '%-%'").count() == taken.count() > 0  # priorities have a hyphen, names of customers don't

@@ -71,6 +71,31 @@ def snapshot_keep_existing(spark, sf_dir):
     return snapshots.written(newer, _customers(spark, sf_dir, 0, 100), ["c_custkey"], [F.col("c_name")], "skip")
 
 
+# All customers as the target, all orders as the source under twice their customer's key: keys occur often, and half are new.
+_EACH_ORDER = "select o_custkey * 2 as c_custkey, o_orderpriority as c_name, o_totalprice as c_acctbal, o_orderkey from orders where o_custkey is not null"
+_ALL = "select c_custkey, c_name, c_acctbal from customer"
+
+
+def _one_order_sql(direction: str) -> str:
+    return f"select c_custkey, c_name, c_acctbal from (select *, row_number() over (partition by c_custkey order by o_orderkey {direction}) as r from ({_EACH_ORDER})) where r = 1"
+
+
+def _orders_over_customers(spark, sf_dir, mode):
+    orders = _table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"), F.col("o_orderpriority").alias("c_name"), F.col("o_totalprice").alias("c_acctbal"), "o_orderkey")
+    target = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.lit(None).cast("long").alias("o_orderkey"))
+    return snapshots.written(orders, target, ["c_custkey"], [F.col("o_orderkey")], mode).drop("o_orderkey")
+
+
+@query("snapshot_replace_whole", f"with o as ({_one_order_sql('desc')}) select * from o union all select * from ({_ALL}) u where c_custkey not in (select c_custkey from o)")
+def snapshot_replace_whole(spark, sf_dir):
+    return _orders_over_customers(spark, sf_dir, "replace")
+
+
+@query("snapshot_keep_whole", f"with u as ({_ALL}) select * from u union all select * from ({_one_order_sql('asc')}) o where c_custkey not in (select c_custkey from u)")
+def snapshot_keep_whole(spark, sf_dir):
+    return _orders_over_customers(spark, sf_dir, "skip")
+
+
 _KEYED = "select case when event_type <> 'error' then user_id end as k, event_id, value from events"
 
 
