@@ -15,9 +15,11 @@ words or text, empty and linked with nothing). Two documents are linked if 100 *
    among copies of one text, the text itself or the copy nearest to it, to which the others are linked though not always to
    each other. These pairs are confirmed on the whole sets and joined to components, which swallows groups of near copies of
    any size in a number of pairs that follows their rows.
-5. What is left inside a key are pairs of different components. Their documents get sketches of WIDE bits, which tell 0.75
-   from 0.65; all pairs within WIDE_DISTANCE, six deviations again, are confirmed, so no link between different components is
-   lost; then components are formed anew over all links.
+5. What is left inside a key are pairs of different components. A document of which over a quarter of the shingles are in no
+   other of these components can't be linked to any: it goes, and this is done again without it, as long as an eighth goes.
+   The same count bounds each pair's intersection. What stays gets sketches of WIDE bits, which tell 0.75 from 0.65; all pairs
+   within WIDE_DISTANCE, six deviations again, are confirmed, so no link between different components is lost; then components
+   are formed anew over all links.
 
 Shingles are compared as 64-bit hashes. A null doc_id takes no part in links: its component_id is null and it is kept.
 Rows that share a doc_id are one node. Empty tables give empty results; other columns are ignored.
@@ -136,6 +138,32 @@ def sharp_sketches(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "rep long, " + ", ".join(f"{n} long" for n in SHARP))
 
 
+def linkable(docs: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int = 75) -> DataFrame:
+    """rep, n_shared of the nodes (rep, label) with enough shingles that other labels have too, so that they may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text"):
+            sets, ends = shingle_sets(texts)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sets.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), lists], ["rep", "label", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    own = narrowed(texts, nodes, ["rep"]).join(nodes, "rep").select("rep", "label", "text")
+    sets = scratch.keep(own.mapInArrow(run, "rep long, label long, shingles array<long>").dropDuplicates(["rep"]), "sets")
+    alive, before = None, sets.count()
+    while True:
+        rows = sets if alive is None else sets.join(alive.select("rep"), "rep")
+        rows = rows.select("rep", "label", F.size("shingles").alias("_n"), F.explode("shingles").alias("x"))
+        shared = rows.groupBy("x").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select("x")
+        left = rows.join(shared, "x").groupBy("rep", "_n").agg(F.count(F.lit(1)).alias("n_shared"))
+        alive = scratch.keep(left.where(f"n_shared * 100 >= _n * {percent}").select("rep", "n_shared"), "linkable")
+        after = alive.count()
+        if after * 8 > before * 7 or not after:
+            scratch.drop(sets)
+            return alive
+        before = after
+
+
 def _symbol(k: int, prefix: str = "s") -> F.Column:
     return F.shiftrightunsigned(F.col(f"{prefix}{k // 4}"), 16 * (k % 4)).bitwiseAND(0xFFFF)
 
@@ -215,12 +243,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = held.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
     open_ = scratch.keep(placed.join(mixed, "key"), "open")
-    sharp = scratch.keep(sharp_sketches(docs, open_.select("rep").distinct()), "sharp")
-    both = [*SKETCH, *SHARP]
-    rows = open_.join(reps.select("rep", "n_shingles", *SKETCH), "rep").join(sharp.dropDuplicates(["rep"]), "rep")
+    alive = linkable(docs, open_.select("rep", "label").distinct(), scratch)
+    sharp = scratch.keep(sharp_sketches(docs, alive.select("rep")), "sharp")
+    both = [*SKETCH, *SHARP, "n_shared"]
+    rows = open_.join(alive, "rep").join(reps.select("rep", "n_shingles", *SKETCH), "rep").join(sharp.dropDuplicates(["rep"]), "rep")
     left = rows.select("key", F.col("label").alias("la"), *_side("a", "x", both))
     right = rows.select(F.col("key").alias("key_b"), F.col("label").alias("lb"), *_side("b", "y", both))
-    alike = _close("x", "y") & (_differing("x", "y", SHARP) <= WIDE_DISTANCE)
+    enough = 175 * F.least("xn_shared", "yn_shared") >= 75 * (F.col("xn") + F.col("yn"))  # the least intersection of 75 percent
+    alike = enough & _close("x", "y") & (_differing("x", "y", SHARP) <= WIDE_DISTANCE)
     rest = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
     rest = scratch.keep(rest, "rest")
     more = scratch.keep(confirm(rest, docs), "links")
