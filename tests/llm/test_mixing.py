@@ -46,16 +46,37 @@ def test_targets_and_shares(docs, prose):
 
 
 def test_certain_copies_come_before_the_sample(docs, prose):
-    rows = [(i, prose(i, 20), "a") for i in range(50)]
-    got = mixing.mix(docs(rows)).collect()
+    rows = [(i, prose(i, 20), "a") for i in range(50)] + [(99, "", "a")]
+    got = [r for r in mixing.mix(docs(rows)).collect() if r.copies or r.doc_id != 99]
     assert {r.copies for r in got} == {1, 2} and abs(sum(r.taken for r in got) - 1500) <= 10
 
 
-def test_weights_tilt_the_sample(spark):
-    rows = [(i, "w " * 10, "a", 9.0 if i % 2 else 1.0) for i in range(2000)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, w double"), share=0.2, weight_col="w").collect()
-    odd_, even = (sum(r.copies for r in got if r.doc_id % 2 == k) for k in (1, 0))
-    assert abs(odd_ + even - 400) <= 1 and odd_ > 6 * even
+def test_inclusion_rates_over_seeds(spark):
+    """Copies over many seeds are what the level says: the mean is in proportion to the root of the size up to the cap."""
+    sizes = [1 + (7 * i) % 97 for i in range(600)]
+    df = spark.createDataFrame([(i, "w " * z, "a") for i, z in enumerate(sizes)], "doc_id long, text string, source string").cache()
+    want = 0.6 * sum(sizes)
+    low, high = 0.0, 10.0
+    for _ in range(80):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(z * min(2, level * z**0.5) for z in sizes) < want else (low, level)
+    seeds, taken = 4, [0] * len(sizes)
+    for seed in range(seeds):
+        rows = mixing.mix(df, share=0.6, seed=seed).collect()
+        assert abs(sum(r.taken for r in rows) - want) <= 12
+        for r in rows:
+            assert abs(r.copies - min(2, level * r.size**0.5)) < 1 + 1e-6
+            taken[r.doc_id] += r.copies
+    for k in range(0, 97, 24):
+        group = [i for i, z in enumerate(sizes) if k < z <= k + 24]
+        rate, mean = sum(taken[i] for i in group) / seeds / len(group), sum(min(2, level * sizes[i] ** 0.5) for i in group) / len(group)
+        assert abs(rate - mean) < 0.08, (k, rate, mean)
+
+
+def test_equal_doc_ids_do_not_depend_on_the_layout(docs, prose):
+    rows = [(i % 7, prose(i, 3 + i % 9), "a" if i % 3 else "b") for i in range(120)]
+    key = lambda df: sorted((r.doc_id, r.text_hash, r.copies) for r in df.collect())
+    assert key(mixing.mix(docs(rows), share=0.5)) == key(mixing.mix(docs(rows[::-1]).repartition(5), share=0.5))
 
 
 def test_repeated_rows_and_empty_tables(docs):
