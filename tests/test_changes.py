@@ -91,3 +91,11 @@ def test_empty_log(spark):
     assert changes.final_state(empty).count() == 0
     assert changes.groups(empty).count() == 0
     assert not changes.lost_history(empty, 3).first()["lost"]
+
+
+def test_rows_that_cannot_be_applied_touch_nothing(spark):
+    rows = [(1, None, "insert", "d", "c", 1, (10,)), (2, None, "invalidate", "d", "c", 1, (99,)), (3, None, "update", "d", "c", 1, None), (4, None, "delete", "", "c", 1, None), (5, None, "update", "d", "c", 2, None)]
+    broken = spark.createDataFrame(rows, SCHEMA)
+    assert [(r.id, r.doc.v) for r in changes.final_state(broken).collect()] == [(1, 10)]
+    snapshot = spark.createDataFrame([(1, -1), (2, -2)], "id long, v int")
+    assert sorted(map(tuple, changes.applied(snapshot, broken, ("id",)).collect())) == [(1, 10), (2, -2)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewright import catalog, config
 from tidewright.operators import copying
 from tidewright.sources import files
-from tidewright.streaming.replication import Replicator, Source
+from tidewright.streaming.replication import LostHistory, Replicator, Source
 from tidewright.streaming.store import KeyedStore
 from tidewright.streaming.tokens import TokenFile, normalised, parse
 
@@ -134,3 +134,37 @@ def test_copying_again_keeps_or_replaces(spark, tmp_path):
         c = config.parse(raw)
         assert copying.copy_pair(spark, c.pairs[0], c, lambda _: ["k"]).first()["error"] is None
         assert dict(map(tuple, spark.read.parquet(f"{tmp_path}/dst/db/one.parquet").collect())) == want
+
+
+def test_history_lost_after_batches_is_seen(spark, tmp_path):
+    write_log(spark, f"{tmp_path}/log", [(1, "insert", "d", 1, 1)])
+    live, store = replicator(spark, tmp_path, [(1, 10)])
+    live.start().awaitTermination()
+    write_log(spark, f"{tmp_path}/log", [(2, "update", "d", 1, 11), (3, "insert", "other", 9, 9)])
+    live.start().awaitTermination()
+    assert store.manifest()["upto"] == 3
+    live.check_history()  # the log still begins before 4
+    write_log(spark, f"{tmp_path}/log", [(4, "update", "d", 1, 12)], mode="overwrite")
+    live.check_history()
+    write_log(spark, f"{tmp_path}/log", [(6, "update", "d", 1, 13)], mode="overwrite")
+    with pytest.raises(LostHistory):
+        live.check_history()
+
+
+def test_a_failed_rename_keeps_the_old_folder(spark, tmp_path, monkeypatch):
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    spark.range(5).write.parquet(f"{tmp_path}/.t.part")
+    real = files.rename
+
+    def refuse(session, old, new):
+        if old.endswith(".part"):
+            raise OSError("refused")
+        real(session, old, new)
+
+    monkeypatch.setattr(files, "rename", refuse)
+    with pytest.raises(OSError):
+        files.replace(spark, f"{tmp_path}/.t.part", f"{tmp_path}/t.parquet")
+    assert spark.read.parquet(f"{tmp_path}/t.parquet").count() == 3
+    monkeypatch.setattr(files, "rename", real)
+    files.replace(spark, f"{tmp_path}/.t.part", f"{tmp_path}/t.parquet")
+    assert spark.read.parquet(f"{tmp_path}/t.parquet").count() == 5 and files.listing(spark, str(tmp_path)) == ["t.parquet"]

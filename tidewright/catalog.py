@@ -17,7 +17,7 @@ INDEX_SCHEMA = "coll string, name string, keys array<struct<field: string, direc
 
 def collections(spark: SparkSession, folder: str) -> list[str]:
     """Names of the collections in a database folder, sorted."""
-    return sorted(name.removesuffix(".parquet") for name in files.listing(spark, folder) if not name.startswith((".", "_")))
+    return sorted(name.removesuffix(".parquet") for name in files.listing(spark, folder) if not name.startswith((".", "_")) and not name.endswith(".old"))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

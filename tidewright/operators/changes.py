@@ -7,6 +7,8 @@ batch queries and streams share them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -32,9 +34,11 @@ def rejected(log: DataFrame) -> DataFrame:
     return log.withColumn("reason", reason).where("reason is not null")
 
 
-def applicable(log: DataFrame, db: str | None = None) -> DataFrame:
-    """log's rows that count, of one database if given."""
-    out = log.where(F.col("id").isNotNull() & (F.col("db") != "") & (F.col("coll") != "") & F.col("op").isin(*OPS) & ((F.col("op") == "delete") | F.col("doc").isNotNull()))
+def applicable(log: DataFrame, db: str | None = None, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """log's rows that count, of one database if given. Logs of a single collection may do without db and coll."""
+    named = [F.col(c) != "" for c in ("db", "coll") if c in log.columns]
+    whole = [F.col(c).isNotNull() for c in key]
+    out = log.where(reduce(lambda a, b: a & b, [*whole, *named, F.col("op").isin(*OPS), (F.col("op") == "delete") | F.col("doc").isNotNull()]))
     return out if db is None else out.where(F.col("db") == db)
 
 
@@ -62,20 +66,19 @@ def last_events(log: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 
 
 def final_state(log: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Keys that exist after the log, with their last document."""
-    return last_events(log, key).where("op <> 'delete'")
+    """Keys that exist after the log's applicable rows, with their last document."""
+    return last_events(applicable(log, key=key), key).where("op <> 'delete'")
 
 
 def applied(snapshot: DataFrame, log: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """snapshot after log: rows of touched keys go, the last documents of keys that aren't deleted come in.
 
-    snapshot has the key and the fields of doc. One pass over each side: both meet in a single aggregation by key, where an
-    event outranks the snapshot's row.
+    snapshot has the key and the fields of doc. Rows of the log that aren't applicable touch nothing. The log is reduced to a
+    row a key, which then takes the place of the snapshot's row in an anti-join.
     """
     fields = [c for c in snapshot.columns if c not in key]
-    old = snapshot.select(*key, F.lit(-1).cast("long").alias("seq"), F.lit("insert").alias("op"), F.struct(*fields).alias("doc"))
-    new = last_events(log.select(*key, F.col("seq").cast("long").alias("seq"), "op", F.struct(*[F.col("doc")[c].alias(c) for c in fields]).alias("doc")), key)
-    kept = old.join(new.select(*key), list(key), "left_anti").select(*key, *[F.col("doc")[c].alias(c) for c in fields])
+    new = last_events(applicable(log, key=key).select(*key, F.col("seq").cast("long").alias("seq"), "op", F.struct(*[F.col("doc")[c].alias(c) for c in fields]).alias("doc")), key)
+    kept = snapshot.join(new.select(*key), list(key), "left_anti").select(*key, *fields)
     return kept.unionByName(new.where("op <> 'delete'").select(*key, *[F.col("doc")[c].alias(c) for c in fields]))
 
 

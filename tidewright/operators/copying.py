@@ -22,7 +22,7 @@ RESULT = "db string, collection string, target string, rows_read long, rows_reje
 
 
 def copy_collection(spark: SparkSession, source: str, target: str, mapping, key: list[str], config: Config) -> dict:
-    """Copy one collection into a new folder beside the old one, then put it in its place."""
+    """Copy one collection into a new folder beside the old one, then put it in its place; a failure leaves the old one."""
     df = catalog.table(spark, source, mapping.source)
     rows = df.count()
     parts = 1
@@ -30,6 +30,7 @@ def copy_collection(spark: SparkSession, source: str, target: str, mapping, key:
         parts = ranges.partition_count(rows, config.numbers["minDocsPerPartition"], config.numbers["maxReadPartitions"])
     rejected = snapshots.without_key(df, key).count()
     where, part = f"{target}/{mapping.target}.parquet", f"{target}/.{mapping.target}.part"
+    files.recover(spark, where)
     there = spark.read.parquet(where) if files.exists(spark, where) else None
     order = [F.xxhash64(*df.columns)]  # of equal keys any one may stay, but the same in each run
     out = snapshots.written(df, there, key, order, "replace" if mapping.upsert else "skip")
@@ -38,9 +39,7 @@ def copy_collection(spark: SparkSession, source: str, target: str, mapping, key:
     files.delete(spark, part)
     out.write.parquet(part)
     written = spark.read.parquet(part).count()
-    if there is not None:
-        files.delete(spark, where)
-    files.rename(spark, part, where)
+    files.replace(spark, part, where)
     return {"rows_read": rows, "rows_rejected": rejected, "rows_written": written, "partitions": parts}
 
 

@@ -204,3 +204,41 @@ def cdc_ordered_writes(spark, sf_dir):
 @query("cdc_lost_history", "select min(event_id) > 41 as lost from events where event_id > 100")
 def cdc_lost_history(spark, sf_dir):
     return changes.lost_history(events_log(spark, sf_dir).where("seq > 100"), 40)
+
+
+def broken_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with rows in it that must touch nothing: unknown operations that carry a document, changes that carry none, no namespace."""
+    log = events_log(spark, sf_dir)
+    return log.select(
+        "seq",
+        "ts",
+        F.when(F.col("seq") % 97 == 3, "invalidate").otherwise(F.col("op")).alias("op"),
+        F.when(F.col("seq") % 101 == 7, "").otherwise(F.col("db")).alias("db"),
+        "coll",
+        "id",
+        F.when((F.col("seq") % 89 == 5) & (F.col("op") != "delete"), F.lit(None)).otherwise(F.col("doc")).alias("doc"),
+    )
+
+
+_WHOLE = "where seq % 97 <> 3 and seq % 101 <> 7 and (seq % 89 <> 5 or op = 'delete')"
+
+
+@query(
+    "cdc_apply_broken_log",
+    f"""
+    with {_SQL_LOG}, {_SQL_LAST.format(key="id", where=_WHOLE)}
+    select c_custkey as id, c_acctbal as value, c_mktsegment as props from customer where c_custkey not in (select id from last)
+    union all select id, value, props from last where op <> 'delete'""",
+)
+def cdc_apply_broken_log(spark, sf_dir):
+    return changes.applied(customers(spark, sf_dir), broken_log(spark, sf_dir), ("id",))
+
+
+@query(
+    "cdc_final_state_broken_log",
+    f"""
+    with {_SQL_LOG}, {_SQL_LAST.format(key="db, coll, id", where=_WHOLE)}
+    select db, coll, id, seq, value, props from last where op <> 'delete'""",
+)
+def cdc_final_state_broken_log(spark, sf_dir):
+    return changes.final_state(broken_log(spark, sf_dir)).select("db", "coll", "id", "seq", F.col("doc.value").alias("value"), F.col("doc.props").alias("props"))

@@ -65,10 +65,37 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file or folder, over a file that may be there. OSError if the store refuses."""
     system, where = _at(spark, old)
     _, to = _at(spark, new)
-    system.delete(to, False)
-    system.rename(where, to)
+    if system.exists(to) and system.getFileStatus(to).isFile():
+        system.delete(to, False)
+    if system.exists(to) or not system.rename(where, to):
+        raise OSError(f"could not rename {old} to {new}")
+
+
+def replace(spark: SparkSession, part: str, where: str) -> None:
+    """Put a folder in another's place. The old one goes last: if the store refuses, it is put back."""
+    aside = f"{where}.old"
+    recover(spark, where)
+    if exists(spark, where):
+        rename(spark, where, aside)
+    try:
+        rename(spark, part, where)
+    except Exception:
+        recover(spark, where)
+        raise
+    delete(spark, aside)
+
+
+def recover(spark: SparkSession, where: str) -> None:
+    """After a replacement that was broken off: the old folder comes back if there is none, else it goes."""
+    aside = f"{where}.old"
+    if exists(spark, aside):
+        if exists(spark, where):
+            delete(spark, aside)
+        else:
+            rename(spark, aside, where)
 
 
 def copy(spark: SparkSession, old: str, new: str) -> None:

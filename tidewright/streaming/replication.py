@@ -77,23 +77,25 @@ class Replicator:
         return min((s.manifest()["position"] for s in self.stores.values() if s.manifest()["phase"] == "loaded"), default=position)
 
     def check_history(self) -> None:
-        """Raise LostHistory if events between the targets' positions and the log's first are gone."""
+        """Raise LostHistory if events between what the targets were last brought up to and the log's first are gone."""
         for store in self.stores.values():
             manifest = store.manifest()
-            if manifest["phase"] == "loaded" and manifest["batch"] is None and changes.lost_history(self.source.log(), manifest["position"]).first()["lost"]:
-                raise LostHistory(f"{store.folder} stands at {manifest['position']}")
+            upto = manifest.get("upto")
+            if manifest["phase"] == "loaded" and upto is not None and changes.lost_history(self.source.log(), upto).first()["lost"]:
+                raise LostHistory(f"{store.folder} stands at {upto}")
 
     def restart(self) -> None:
         """Forget copies and positions: the next run begins with a new snapshot."""
         from tidewright.sources import files
 
         for store in self.stores.values():
-            store.publish(store.manifest() | {"phase": "empty", "position": None, "batch": None})
+            store.publish(store.manifest() | {"phase": "empty", "position": None, "batch": None, "upto": None})
         files.delete(self.source.spark, self.checkpoint)
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """One micro-batch into all stores. May run again for the same number."""
         mine = changes.applicable(batch, self.source.db)
+        upto = batch.agg(F.max("seq")).first()[0]
         by_target: dict[str, list[str]] = {}
         for collection in (*self.names, *(c for c in self.stores if self.passthrough and c not in self.names)):
             by_target.setdefault(self.target(collection), []).append(collection)
@@ -101,7 +103,7 @@ class Replicator:
             if (store := self.stores.get(name)) is None:
                 continue
             own = mine.where(F.col("coll").isin(collections))
-            store.take(changes.resumed(own, store.manifest()["position"]).withColumnRenamed("id", store.key[0]), number)
+            store.take(changes.resumed(own, store.manifest()["position"]).withColumnRenamed("id", store.key[0]), number, upto)
 
     def start(self, available_now: bool = True, every: str = "500 milliseconds") -> StreamingQuery:
         """Snapshot where needed, then stream; available_now stops at the end of the log."""

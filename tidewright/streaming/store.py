@@ -64,10 +64,14 @@ class KeyedStore:
         """Write a whole snapshot, taken when the log was at a position: events after it are applied over it."""
         rows = snapshot.select(*self.key, *self.fields, F.lit(-1).cast("long").alias("seq"), F.lit(False).alias("deleted"))
         manifest = self.manifest()
-        self._write(rows, manifest | {"buckets": {}}, list(range(self.buckets)), phase="loaded", position=position, batch=None)
+        self._write(rows, manifest | {"buckets": {}}, list(range(self.buckets)), phase="loaded", position=position, batch=None, upto=position)
 
-    def take(self, log: DataFrame, batch: int | None = None) -> bool:
-        """Apply a batch of events (key, seq, op, doc); False if the manifest says that it is in already."""
+    def take(self, log: DataFrame, batch: int | None = None, upto: int | None = None) -> bool:
+        """Apply a batch of events (key, seq, op, doc); False if the manifest says that it is in already.
+
+        upto is the position that the log has been read to, other collections' events included. Versions go that neither the
+        new manifest names nor the one before it, which readers may still hold.
+        """
         manifest = self.manifest()
         if batch is not None and manifest["batch"] is not None and batch <= manifest["batch"]:
             return False
@@ -75,22 +79,25 @@ class KeyedStore:
         rows = last.select(*self.key, *[F.col("doc")[f].alias(f) for f in self.fields], "seq", (F.col("op") == "delete").alias("deleted"))
         rows = rows.persist()
         try:
+            known = manifest.get("upto")
+            upto = known if upto is None else upto if known is None else max(known, upto)
             touched = [r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect()]  # at most `buckets` numbers
             if touched:
                 old = self._state({b: v for b, v in manifest["buckets"].items() if int(b) in touched})
                 both = old.unionByName(rows)
                 rest = [*self.fields, "deleted"]
                 best = both.groupBy(*self.key).agg(F.max_by(F.struct("seq", *rest), "seq").alias("_row"))
-                self._write(best.select(*self.key, *[F.col("_row")[c].alias(c) for c in (*self.fields, "seq", "deleted")]), manifest, touched, batch=batch)
+                self._write(best.select(*self.key, *[F.col("_row")[c].alias(c) for c in (*self.fields, "seq", "deleted")]), manifest, touched, batch=batch, upto=upto)
+                self.clean(manifest["buckets"])
             elif batch is not None:
-                self.publish(manifest | {"batch": batch})
+                self.publish(manifest | {"batch": batch, "upto": upto})
         finally:
             rows.unpersist()
         return True
 
-    def clean(self) -> int:
-        """Remove versions that the manifest no longer names; how many."""
-        used = {str(v) for v in self.manifest()["buckets"].values()}
+    def clean(self, spared: dict | None = None) -> int:
+        """Remove versions that neither the manifest nor the spared buckets name; how many."""
+        used = {str(v) for v in (*self.manifest()["buckets"].values(), *(spared or {}).values())}
         old = [n for n in files.listing(self.spark, f"{self.folder}/data") if n not in used]
         for name in old:
             files.delete(self.spark, f"{self.folder}/data/{name}")
