@@ -51,7 +51,7 @@ def test_rows_that_take_no_part(spark):
 
 
 def test_few_candidates_in_waves_and_zero_vectors(spark, monkeypatch):
-    monkeypatch.setattr(topk, "WAVE", 2)
+    monkeypatch.setattr(topk, "WAVE_BYTES", 96)
     monkeypatch.setattr(topk, "ROWS", 16)
     monkeypatch.setattr(topk, "HEAD", 5)
     rows = as32([(i, v if i % 3 else [0.0] * 5) for i, v in random_rows(90, 5)])
@@ -63,6 +63,38 @@ def test_empty(spark):
     assert found(spark, [(0, None)]) == set()
 
 
-def test_components_that_would_overflow_are_refused(spark):
-    with pytest.raises(Exception, match="2\\*\\*26"):
-        found(spark, [(0, [1e9]), (1, [1.0])])
+@pytest.mark.parametrize("size", [1e5, 1e9, 1e18, 1e37])
+def test_components_of_any_size(spark, size):
+    rows = as32([(i, [c * size if i % 7 == 0 else c for c in v]) for i, v in random_rows(160, 4, seed=3)])
+    rows += [(200, rows[0][1]), (201, rows[0][1]), (300, [0.0] * 4)]
+    held = {(q, r, i, max(-topk.MOST, min(topk.MOST, s))) for q, r, i, s in brute(rows, every=20)}
+    assert found(spark, rows, every=20) == held
+
+
+def test_negative_scores_beyond_64_bits(spark):
+    rows = as32([(0, [-1e30, -1e30])] + [(i, [i * 1e28, 1.0]) for i in range(1, 40)])
+    assert [i for _, _, i, _ in sorted(found(spark, rows, every=50))] == [i for _, _, i, _ in sorted(brute(rows, every=50))]
+
+
+def test_sortable_bytes_sort_as_integers():
+    values = sorted([0, 1, -1, 255, 256, -255, -256, 2**70, -(2**70), 2**70 + 1, 2**300, -(2**300), 2**2100, -(2**2100)])
+    assert sorted(values, key=topk.sortable) == values
+
+
+def test_one_broadcast_of_queries_lives_at_a_time(spark, monkeypatch):
+    live, most = set(), []
+    make = type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        made = make(self, value)
+        live.add(id(made))
+        most.append(len(live))
+        destroy = made.destroy
+        made.destroy = lambda *a: (live.discard(id(made)), destroy(*a))
+        return made
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    monkeypatch.setattr(topk, "WAVE_BYTES", 96)
+    rows = as32(random_rows(60, 3))
+    assert found(spark, rows, every=10) == brute(rows, 10, 10)
+    assert len(most) > 1 and max(most) == 1 and not live
