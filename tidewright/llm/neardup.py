@@ -245,13 +245,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = scratch.keep(placed.join(mixed, "key"), "open")
     alive = linkable(docs, open_.select("rep", "label").distinct(), scratch)
     sharp = scratch.keep(sharp_sketches(docs, alive.select("rep")), "sharp")
-    both = [*SKETCH, *SHARP, "n_shared"]
-    rows = open_.join(alive, "rep").join(reps.select("rep", "n_shingles", *SKETCH), "rep").join(sharp.dropDuplicates(["rep"]), "rep")
+    both = ["keys", *SKETCH, *SHARP, "n_shared"]
+    rows = open_.join(alive, "rep").join(reps.select("rep", "n_shingles", index_keys().alias("keys"), *SKETCH), "rep").join(sharp.dropDuplicates(["rep"]), "rep")
     left = rows.select("key", F.col("label").alias("la"), *_side("a", "x", both))
     right = rows.select(F.col("key").alias("key_b"), F.col("label").alias("lb"), *_side("b", "y", both))
     enough = 175 * F.least("xn_shared", "yn_shared") >= 75 * (F.col("xn") + F.col("yn"))  # the least intersection of 75 percent
     alike = enough & _close("x", "y") & (_differing("x", "y", SHARP) <= WIDE_DISTANCE)
-    rest = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    # a pair comes from the first key it shares only; interpreted, so that the cheap tests before it stay in a small method
+    once = F.col("key") == F.filter(F.zip_with("xkeys", "ykeys", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull())[0]
+    rest = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & alike & once).select("a", "b")
     rest = scratch.keep(rest, "rest")
     more = scratch.keep(confirm(rest, docs), "links")
     if not more.isEmpty():
