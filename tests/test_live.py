@@ -136,6 +136,29 @@ def test_copying_again_keeps_or_replaces(spark, tmp_path):
         assert dict(map(tuple, spark.read.parquet(f"{tmp_path}/dst/db/one.parquet").collect())) == want
 
 
+def test_configured_indexes_are_recorded_in_the_target(spark, tmp_path):
+    for folder in ("src", "dst"):
+        spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string").write.parquet(f"{tmp_path}/{folder}/db/{'one' if folder == 'src' else 'uno'}.parquet")
+    own = lambda name, field, **more: {"coll": "one", "name": name, "keys": [{"field": field, "direction": "1"}], **more}
+    catalog.record_indexes(spark, f"{tmp_path}/src/db", [own("k", "k", unique=True, expire_after_seconds=5), own("v", "v", unique=True), own("spare", "v"), own("there", "k"), own("_id_", "k"), {"coll": "one", "name": "bare"}])
+    catalog.record_indexes(spark, f"{tmp_path}/dst/db", [{**own("there", "v"), "coll": "uno"}])
+    target = {"connectionString": f"{tmp_path}/dst", "database": "db", "collections": [{"sourceCollection": "one", "targetCollection": "uno"}], "indexes": [{"sourceCollection": "one", "indexNames": ["k", "v", "there", "_id_", "bare", "none"]}]}
+    pair = config.parse({"databasePairs": [{"source": {"connectionString": f"{tmp_path}/src", "database": "db"}, "target": target}]}).pairs[0]
+    status = {r["name"]: r["status"] for r in copying.sync_indexes(spark, pair).collect()}
+    assert status == {"k": "created", "v": "broken", "there": "differs", "bare": "no_keys", "none": "missing"}
+    kept = {r["name"]: r for r in catalog.indexes(spark, f"{tmp_path}/dst/db").collect()}
+    assert set(kept) == {"k", "there"} and kept["k"]["coll"] == "uno" and kept["k"]["unique"] and kept["k"]["expire_after_seconds"] == 5
+    assert {r["name"]: r["status"] for r in copying.sync_indexes(spark, pair).collect()}["k"] == "exists"
+    assert catalog.collections(spark, f"{tmp_path}/dst/db") == ["uno"]
+
+
+def test_unreadable_index_definitions_are_result_rows(spark, tmp_path):
+    files.write_text(spark, f"{tmp_path}/src/db/{catalog.INDEX_FILE}", "no json\n")
+    target = {"connectionString": f"{tmp_path}/dst", "database": "db", "indexes": [{"sourceCollection": "one", "indexNames": ["k"]}]}
+    pair = config.parse({"databasePairs": [{"source": {"connectionString": f"{tmp_path}/src", "database": "db"}, "target": target}]}).pairs[0]
+    assert copying.sync_indexes(spark, pair).first()["status"].startswith("failed: ")
+
+
 def test_history_lost_after_batches_is_seen(spark, tmp_path):
     write_log(spark, f"{tmp_path}/log", [(1, "insert", "d", 1, 1)])
     live, store = replicator(spark, tmp_path, [(1, 10)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from tidewright.sources import files
 
 #: The index that every collection has and that is never copied.
 KEY_INDEX = "_id_"
+#: A database's index definitions: a JSON object a line, with the columns of INDEX_SCHEMA.
+INDEX_FILE = "_indexes.json"
 INDEX_SCHEMA = "coll string, name string, keys array<struct<field: string, direction: string>>, unique boolean, sparse boolean, expire_after_seconds bigint, partial_filter string, default_language string, language_override string, weights map<string, int>, background boolean"
 
 
@@ -41,6 +44,19 @@ def target_name(pair: Pair, source: str) -> str:
     return next((m.target for m in pair.collections if m.source == source), source)
 
 
+def indexes(spark: SparkSession, folder: str) -> DataFrame:
+    """The index definitions of a database folder; none where nothing defines any."""
+    path = f"{folder}/{INDEX_FILE}"
+    lines = files.read_text(spark, path).splitlines() if files.exists(spark, path) else []
+    return spark.createDataFrame([json.loads(line) for line in lines if line.strip()], INDEX_SCHEMA)
+
+
+def record_indexes(spark: SparkSession, folder: str, definitions: Iterable[dict]) -> None:
+    """Make these the index definitions of a database folder; what says nothing is left out."""
+    told = ({k: v for k, v in d.items() if v is not None} for d in definitions)
+    files.write_text(spark, f"{folder}/{INDEX_FILE}", "".join(json.dumps(d, sort_keys=True) + "\n" for d in told))
+
+
 def requested(spark: SparkSession, requests: Iterable[IndexRequest]) -> DataFrame:
     """coll, name of the indexes that a configuration asks for."""
     return spark.createDataFrame([(r.source, n) for r in requests for n in r.names], "coll string, name string")

@@ -75,6 +75,8 @@ def main(argv: list[str] | None = None) -> int:
             for row in copying.copy_pair(spark, pair, config, lambda _: options.key.split(",")).collect():
                 log.info("%s", row.asDict())
                 failed += row["error"] is not None
+            for row in copying.sync_indexes(spark, pair).collect():
+                log.info("%s", row.asDict())
     log.info("%s ended after %.1f s", options.mode, time.time() - began)
     return int(failed > 0)
 

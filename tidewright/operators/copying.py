@@ -19,6 +19,7 @@ from tidewright.sources import files
 
 LOG = logging.getLogger("tidewright.copy")
 RESULT = "db string, collection string, target string, rows_read long, rows_rejected long, rows_written long, partitions int, seconds double, error string"
+INDEX_RESULT = "db string, collection string, target string, name string, status string"
 
 
 def copy_collection(spark: SparkSession, source: str, target: str, mapping, key: list[str], config: Config) -> dict:
@@ -61,3 +62,56 @@ def copy_pair(spark: SparkSession, pair: Pair, config: Config, keys: Callable[[s
 
     with ThreadPoolExecutor(config.numbers["concurrentCollections"]) as pool:
         return spark.createDataFrame(list(pool.map(one, chosen)), RESULT)
+
+
+def index_status(definition: dict | None, there: dict | None, rows: Callable[[], DataFrame]) -> str:
+    """What becomes of an index in the target.
+
+    missing: the source has none of that name; exists, differs: the target has it, and keeps its own; no_keys: it names no
+    fields; broken: it is unique, but rows repeat; created: it is recorded.
+    """
+    if definition is None:
+        return "missing"
+    if there is not None:
+        return "exists" if there == definition else "differs"
+    if not definition["keys"]:
+        return "no_keys"
+    if definition["unique"] and not snapshots.duplicate_keys(rows(), [k["field"] for k in definition["keys"]]).isEmpty():
+        return "broken"
+    return "created"
+
+
+def sync_indexes(spark: SparkSession, pair: Pair) -> DataFrame:
+    """Record a pair's configured indexes beside the target's collections; a row of INDEX_RESULT each, failures too.
+
+    Definitions are metadata, a row each, so they are brought together here; uniqueness is looked at where the rows are.
+    """
+    source, target = f"{pair.source_uri.rstrip('/')}/{pair.source_db}", f"{pair.target_uri.rstrip('/')}/{pair.target_db}"
+    out, unread = [], None
+    found, kept = {}, {}
+    try:
+        wanted = catalog.requested(spark, pair.indexes)
+        found = {(r["coll"], r["name"]): r.asDict(recursive=True) for r in catalog.index_options(catalog.index_selection(catalog.indexes(spark, source), wanted)).collect()}
+        kept = {(r["coll"], r["name"]): r.asDict(recursive=True) for r in catalog.indexes(spark, target).collect()}
+    except Exception as failure:  # indexes never stop a copy
+        unread = f"failed: {type(failure).__name__}: {failure}"[:500]
+    before = len(kept)
+    for request in pair.indexes:
+        to = catalog.target_name(pair, request.source)
+        for name in request.names:
+            if not name or name == catalog.KEY_INDEX:
+                continue
+            definition = found.get((request.source, name))
+            definition = None if definition is None else {**definition, "coll": to}
+            try:
+                status = unread or index_status(definition, kept.get((to, name)), lambda to=to: catalog.table(spark, target, to))
+            except Exception as failure:
+                status = f"failed: {type(failure).__name__}: {failure}"[:500]
+            if status == "created":
+                kept[to, name] = definition
+            if status not in ("created", "exists"):
+                LOG.warning("index %s of %s: %s", name, to, status)
+            out.append((pair.source_db, request.source, to, name, status))
+    if len(kept) > before:
+        catalog.record_indexes(spark, target, kept.values())
+    return spark.createDataFrame(out, INDEX_RESULT)

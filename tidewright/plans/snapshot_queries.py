@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewright import catalog
 from tidewright.config import IndexRequest
 from tidewright.functions import ids, policy
-from tidewright.operators import snapshots
+from tidewright.operators import copying, snapshots
 from tidewright.plans import ranges
 from tidewright.registry import query
 
@@ -246,6 +246,28 @@ def unique_index_check(spark, sf_dir):
     return snapshots.duplicate_keys(_table(spark, sf_dir, "lineitem"), _LINE_KEY)
 
 
+_BROKEN = "case when exists (select 1 from {t} group by {k} having count(*) > 1) then 'broken' else 'created' end"
+
+
+@query(
+    "index_sync",
+    "select 'orders' as collection, 'by_key' as name, " + _BROKEN.format(t="orders", k="o_orderkey") + " as status"
+    " union all select 'lineitem', 'by_order', " + _BROKEN.format(t="lineitem", k="l_orderkey") + ""
+    " union all select 'lineitem', 'by_line', " + _BROKEN.format(t="lineitem", k="l_orderkey, l_linenumber") + ""
+    " union all select * from (values ('customer', 'by_nation', 'created'), ('customer', 'by_name', 'differs'), ('part', 'by_size', 'missing'), ('part', 'bare', 'no_keys')) t(a, b, c)",
+)
+def index_sync(spark, sf_dir):
+    """What becomes of requested indexes, unique ones held against the whole tables."""
+    wanted = [("orders", "by_key", ["o_orderkey"], True), ("lineitem", "by_order", ["l_orderkey"], True), ("lineitem", "by_line", ["l_orderkey", "l_linenumber"], True)]
+    wanted += [("customer", "by_nation", ["c_nationkey"], False), ("customer", "by_name", ["c_name"], False), ("part", "by_size", None, False), ("part", "bare", [], False)]
+    there = {("customer", "by_name"): {"keys": [{"field": "c_address", "direction": "1"}], "unique": None}}
+    out = []
+    for coll, name, fields, unique in wanted:
+        definition = None if fields is None else {"keys": [{"field": f, "direction": "1"} for f in fields], "unique": unique or None}
+        out.append((coll, name, copying.index_status(definition, there.get((coll, name)), lambda coll=coll: _table(spark, sf_dir, coll))))
+    return spark.createDataFrame(out, "collection string, name string, status string")
+
+
 @query("ttl_filter", "select o_orderkey from orders where o_orderdate is null or o_orderdate + interval 7776000 seconds > timestamp '1998-01-01'")
 def ttl_filter(spark, sf_dir):
     return snapshots.retained(_table(spark, sf_dir, "orders"), "o_orderdate", 90 * 86400, F.lit("1998-01-01").cast("timestamp_ntz")).select("o_orderkey")
