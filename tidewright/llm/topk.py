@@ -101,12 +101,11 @@ def sortable(score: int) -> bytes:
     return (0x7FFF - size).to_bytes(2, "big") + (256**size - 1 + score).to_bytes(size, "big")
 
 
-def exact_scores(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inner products of rows with rows: held within MOST, and the exact value of those that are not under it (else None)."""
+def exact_scores(q: np.ndarray, c: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of rows with rows, in doubles where `small`: held within MOST, and the exact value of those not under it (else None)."""
     with np.errstate(over="ignore", invalid="ignore"):
-        small = _lengths(q) * _lengths(c) < EXACT
-    score, wide = np.zeros(len(q), dtype=np.int64), np.full(len(q), None, dtype=object)
-    score[small] = np.einsum("ij,ij->i", q[small], c[small]).astype(np.int64)
+        product = np.einsum("ij,ij->i", q, c)
+    score, wide = np.where(small, product, 0).astype(np.int64), np.full(len(q), None, dtype=object)
     for i in np.flatnonzero(~small):
         value = sum(int(x) * int(y) for x, y in zip(q[i].tolist(), c[i].tolist(), strict=True))
         score[i] = max(-MOST, min(MOST, value))
@@ -156,6 +155,7 @@ def search(best: Best, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: n
     dim = q.shape[1]
     steps = sorted({max(1, int(dim * s)) for s in STEPS}) if dim else []
     c_turned, c_length = c @ turn, _lengths(c)
+    c_rest = {p: _lengths(c_turned[:, p:]) for p in steps}
     for at in range(0, len(q), ASKING):
         own = slice(at, at + ASKING)
         need, length = best.need()[own], _lengths(q[own])
@@ -164,11 +164,12 @@ def search(best: Best, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: n
             continue
         turned = q[own][live] @ turn
         slack = 1e-9 * np.outer(length[live], c_length) + 1
+        least = (need[live] * (1 - np.sign(need[live]) * 1e-12))[:, None]
         keep, partial, done = np.ones((len(live), len(c)), dtype=bool), np.zeros((len(live), len(c))), 0
         for p in steps:
             partial += turned[:, done:p] @ c_turned[:, done:p].T
-            rest = np.outer(_lengths(turned[:, p:]), _lengths(c_turned[:, p:]))
-            keep = ~(partial + rest + slack < need[live][:, None] * (1 - np.sign(need[live][:, None]) * 1e-12))
+            rest = np.outer(_lengths(turned[:, p:]), c_rest[p])
+            keep = ~(partial + rest + slack < least)
             done = p
             if keep.mean() < 0.02:
                 break
@@ -177,7 +178,7 @@ def search(best: Best, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: n
             qa, cb = at + live[a[i : i + (1 << 15)]], b[i : i + (1 << 15)]
             other = q_ids[qa] != c_ids[cb]
             qa, cb = qa[other], cb[other]
-            score, wide = exact_scores(q[qa], c[cb])
+            score, wide = exact_scores(q[qa], c[cb], length[qa - at] * c_length[cb] < EXACT)
             good = score >= best.threshold[qa]
             best.add(qa[good], score[good], c_ids[cb][good], wide[good])
 
