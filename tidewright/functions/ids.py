@@ -60,3 +60,8 @@ def object_id_seconds(hex_id: Column) -> Column:
 def object_id_at(seconds: Column) -> Column:
     """The smallest 24-digit identifier of a second."""
     return F.concat(F.lpad(F.lower(F.hex(seconds.cast("bigint"))), 8, "0"), F.lit("0" * 16))
+
+
+def object_id_from(seconds: int) -> str:
+    """The same of a number: its first 8 hex digits, of two's complement below 0."""
+    return f"{seconds % 2**64:08x}"[:8] + "0" * 16

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -79,15 +80,19 @@ def sampled(df: DataFrame, column: str, parts: int, sample: int = 1000, most: in
     return RangePlan(column, tuple(values[(i + 1) * step] for i in range(1, parts)))
 
 
-def by_extremes(df: DataFrame, column: str, parts: int) -> RangePlan:
-    """Bounds that cut the range from smallest to largest value into equal widths; texts of 24 hex digits by their seconds."""
+def by_extremes(df: DataFrame, column: str, parts: int, seconds: Column | None = None) -> RangePlan:
+    """Bounds that cut the range from smallest to largest value into equal widths; texts of 24 hex digits by their seconds.
+
+    seconds: what the identifiers were made of, where that may have more than their 8 digits. Bounds are cut to 8 digits like
+    the identifiers, then sorted.
+    """
     if ids.kind_of(df, column) == "string":
-        seconds = ids.object_id_seconds(F.col(column))
+        seconds = ids.object_id_seconds(F.col(column)) if seconds is None else seconds
         low, high = df.agg(F.min(seconds), F.max(seconds)).first()
         if low is None or parts < 2:
             return RangePlan(column, ())
         width = (high - low) / parts
-        return RangePlan(column, tuple(f"{int(low + width * i):08x}" + "0" * 16 for i in range(1, parts)))
+        return RangePlan(column, tuple(sorted(ids.object_id_from(math.floor(low + width * i)) for i in range(1, parts))))
     low, high = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()  # one pass
     if low is None or parts < 2:
         return RangePlan(column, ())
