@@ -68,6 +68,19 @@ def test_passages_in_common_do_not_join(docs, prose):
     assert all(kept for _, _, kept in found(docs(rows)).values())
 
 
+@pytest.mark.parametrize("few", [0, neardup.FEW])
+def test_keys_of_few_documents_need_no_shingles(docs, prose, few, monkeypatch):
+    """Half-alike documents share keys: few under a key are told apart by bits, and links between groups are still found."""
+    seen, linkable = [], neardup.linkable
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "linkable", lambda docs, nodes, scratch: (seen.append(nodes.count()), linkable(docs, nodes, scratch))[1])
+    passages = [prose(700 + i, 100) for i in range(30)]
+    rows = [(10 * i + j, p + " " + prose(9000 + 10 * i + j, 60)) for i, p in enumerate(passages) for j in range(4)]
+    rows += [(1000 + i, edited(t, 61, "e")) for i, (_, t) in enumerate(rows[:40])]
+    assert found(docs(rows)) == brute(rows)
+    assert (seen[0] == 0) == (few > 0)
+
+
 def test_null_ids_repeated_rows_and_empty_tables(docs, prose):
     t = prose(3, 50)
     got = neardup.near_duplicates(docs([(None, t), (None, None), (5, t), (5, t), (7, t)])).collect()

@@ -15,10 +15,11 @@ words or text, empty and linked with nothing). Two documents are linked if 100 *
    among copies of one text, the text itself or the copy nearest to it, to which the others are linked though not always to
    each other. These pairs are confirmed on the whole sets and joined to components, which swallows groups of near copies of
    any size in a number of pairs that follows their rows.
-5. What is left inside a key are pairs of different components. A document of which over a quarter of the shingles are in no
-   other of these components can't be linked to any: it goes, and this is done again without it, as long as an eighth goes.
+5. What is left inside a key are pairs of different components. In keys of at most FEW documents all of them are compared by
+   bits at once; what passes is confirmed. In larger keys, a document of which over a quarter of the shingles are in no other
+   of these components can't be linked to any: it goes, and this is done again without it, as long as an eighth goes.
    The same count bounds each pair's intersection. What stays gets sketches of WIDE bits, which tell 0.75 from 0.65; all pairs
-   within WIDE_DISTANCE, six deviations again, are confirmed, so no link between different components is lost; then components
+   within PART_DISTANCE by the first of them and those before, and WIDE_DISTANCE by all, six deviations each, are confirmed, so no link between different components is lost; then components
    are formed anew over all links.
 
 Shingles are compared as 64-bit hashes. A null doc_id takes no part in links: its component_id is null and it is kept.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.bitfilter import narrowed
@@ -46,10 +47,14 @@ DISTANCE = 2 * CHUNKS - 1
 #: A signature's symbols lie in longs of four.
 LONGS = -(-POSITIONS // 4)
 BITS, BIT_DISTANCE = 256, 64
+#: Documents under one key up to which all that are of different components are compared by their bits alone.
+FEW = 32
 #: Bits of the sketch that documents get which are still open after the first round.
 WIDE, WIDE_DISTANCE = 2048, 346
 INDEX, SKETCH = [f"s{i}" for i in range(LONGS)], [f"b{i}" for i in range(BITS // 64)]
 SHARP = [f"w{i}" for i in range(WIDE // 64)]
+#: The part of that sketch that large keys carry, as Spark splits them by bytes; with the BITS, six deviations more than at 0.75.
+PART, PART_DISTANCE = SHARP[:8], 151
 
 _PLACE = constants(SHINGLE, 5)
 _XOR, _TIMES = constants(POSITIONS + BITS + WIDE, 11), constants(POSITIONS + BITS + WIDE, 13)
@@ -168,7 +173,7 @@ def _symbol(k: int, prefix: str = "s") -> F.Column:
     return F.shiftrightunsigned(F.col(f"{prefix}{k // 4}"), 16 * (k % 4)).bitwiseAND(0xFFFF)
 
 
-def index_keys() -> F.Column:
+def index_keys(prefix: str = "s") -> F.Column:
     """The keys of a signature: for each chunk and each place that may differ in it, the other symbols."""
     keys = []
     for c in range(CHUNKS):
@@ -176,7 +181,7 @@ def index_keys() -> F.Column:
             key = F.lit(c * CHUNK + out).cast("long")
             for k in range(c * CHUNK, (c + 1) * CHUNK):
                 if k != c * CHUNK + out:
-                    key = F.shiftleft(key, 16).bitwiseOR(_symbol(k))
+                    key = F.shiftleft(key, 16).bitwiseOR(_symbol(k, prefix))
             keys.append(key)
     return F.array(*keys)
 
@@ -196,6 +201,18 @@ def _close(left: str, right: str) -> F.Column:
     return (small * 100 >= large * 75) & (_differing(left, right, SKETCH) <= BIT_DISTANCE)
 
 
+def pairs_of_few(placed: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows (key, n, rep, label) of keys of at most FEW documents that are of different components and close."""
+    bits = ["n_shingles", *SKETCH]
+    rows = placed.where(f"n <= {FEW}").select("key", "rep", "label")
+    mixed = Window.partitionBy("key")  # of at most FEW rows
+    rows = rows.join(reps.select("rep", *bits), "rep").select("*", F.min("label").over(mixed).alias("_l"), F.max("label").over(mixed).alias("_h")).where("_l < _h")
+    held = rows.groupBy("key").agg(F.collect_list(F.struct("rep", "label", *bits)).alias("held"))
+    left = held.select("held", F.explode("held").alias("x")).select("x", F.explode(F.filter("held", lambda y: (y["rep"] > F.col("x.rep")) & (y["label"] != F.col("x.label")))).alias("y"))
+    sides = [F.col(f"{c}.{f}").alias(f"{c}{'n' if f == 'n_shingles' else f}") for c in "xy" for f in bits]
+    return left.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), *sides).where(_close("x", "y")).select("a", "b").distinct()
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole sets have 100 * intersection >= percent * union."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
@@ -240,21 +257,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = scratch.keep(confirm(scratch.keep(stars, "stars"), docs), "links")
     labels = scratch.keep(components(links, scratch), "stars-joined")
 
-    placed = held.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    placed = held.join(labels, F.col("rep") == F.col("node"), "left").select("key", "n", "rep", F.coalesce("label", "rep").alias("label"))
+    near = scratch.keep(pairs_of_few(placed, reps), "near")
+    placed = placed.where(f"n > {FEW}").drop("n")
     mixed = placed.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
     open_ = scratch.keep(placed.join(mixed, "key"), "open")
     alive = linkable(docs, open_.select("rep", "label").distinct(), scratch)
     sharp = scratch.keep(sharp_sketches(docs, alive.select("rep")), "sharp")
-    both = ["keys", *SKETCH, *SHARP, "n_shared"]
-    rows = open_.join(alive, "rep").join(reps.select("rep", "n_shingles", index_keys().alias("keys"), *SKETCH), "rep").join(sharp.dropDuplicates(["rep"]), "rep")
-    left = rows.select("key", F.col("label").alias("la"), *_side("a", "x", both))
+    both, sharp = [*INDEX, *SKETCH, *PART, "n_shared"], sharp.dropDuplicates(["rep"])
+    rows = open_.join(alive, "rep").join(reps.select("rep", "n_shingles", *INDEX, *SKETCH), "rep").join(sharp.select("rep", *PART), "rep")
+    left = rows.select(F.col("key").alias("key_a"), F.col("label").alias("la"), *_side("a", "x", both))
     right = rows.select(F.col("key").alias("key_b"), F.col("label").alias("lb"), *_side("b", "y", both))
     enough = 175 * F.least("xn_shared", "yn_shared") >= 75 * (F.col("xn") + F.col("yn"))  # the least intersection of 75 percent
-    alike = enough & _close("x", "y") & (_differing("x", "y", SHARP) <= WIDE_DISTANCE)
+    alike = enough & _close("x", "y") & (_differing("x", "y", [*SKETCH, *PART]) <= PART_DISTANCE)
     # a pair comes from the first key it shares only; interpreted, so that the cheap tests before it stay in a small method
-    once = F.col("key") == F.filter(F.zip_with("xkeys", "ykeys", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull())[0]
-    rest = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & alike & once).select("a", "b")
-    rest = scratch.keep(rest, "rest")
+    once = F.col("key_a") == F.filter(F.zip_with(index_keys("xs"), index_keys("ys"), lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull())[0]
+    rest = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & alike & once).select("a", "b")
+    for side in "ab":
+        rest = rest.join(sharp.select(F.col("rep").alias(side), *[F.col(c).alias(f"{side}{c}") for c in SHARP]), side)
+    rest = rest.where(_differing("a", "b", SHARP) <= WIDE_DISTANCE).select("a", "b")
+    rest = scratch.keep(rest.union(near).distinct(), "rest")
     more = scratch.keep(confirm(rest, docs), "links")
     if not more.isEmpty():
         labels = scratch.keep(components(links.union(more), scratch), "joined")
